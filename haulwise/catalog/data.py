@@ -199,7 +199,7 @@ def register(cat) -> None:
         FROM orders, (SELECT min(o_totalprice) lo, max(o_totalprice) hi FROM orders)""")
     cat.add("zscore_scale", lambda m: ft.zscore_scale(m.raw("orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
             .withColumn("o_totalprice_z", fx.r6(F.col("o_totalprice_z"))), """
-        SELECT o_orderkey, o_totalprice, round((o_totalprice - mu) / sd, 6) o_totalprice_z
+        SELECT o_orderkey, o_totalprice, round((o_totalprice - mu) / sd, 6) + 0.0 o_totalprice_z
         FROM orders, (SELECT avg(o_totalprice) mu, stddev_samp(o_totalprice) sd FROM orders)""")
     cat.add("reliability_history", lambda m: ft.reliability_history(m.shipments, 10), ora("""
         SELECT supplier_id, shipment_id, delivered_at,
@@ -230,7 +230,7 @@ def register(cat) -> None:
           SELECT product_id FROM items JOIN ord USING (order_id) WHERE ord.status = 'open') is_shortage FROM inventory i"""))
     cat.add("demand_spike", lambda m: ft.demand_spike(m.items, 6), ora("""
         SELECT product_id, month, quantity, round(mb, 6) mean_before, round(sb, 6) sd_before,
-          round((quantity - mb) / nullif(sb, 0), 6) spike FROM (
+          round((quantity - mb) / nullif(sb, 0), 6) + 0.0 spike FROM (
           SELECT *, avg(quantity) OVER w mb, stddev_samp(quantity) OVER w sb FROM (
             SELECT product_id, CAST(date_trunc('month', ship_date) AS DATE) AS month, CAST(sum(quantity) AS BIGINT) quantity
             FROM items GROUP BY 1, 2)
