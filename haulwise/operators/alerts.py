@@ -136,11 +136,12 @@ def double_decisions(history: DataFrame) -> DataFrame:
     return decided.join(first, "request_id").filter(F.col("change_id") != F.col("first_change_id"))
 
 
-def lockouts(audit: DataFrame, n: int = 5) -> DataFrame:
-    """The event that completes ``n`` failed logins in a row.
+def failure_runs(audit: DataFrame, carried: DataFrame | None = None) -> DataFrame:
+    """Length of the running streak of failed logins at every login event.
 
-    Position in the run = failures so far minus failures at the last success;
-    both are running values carried over day segments.
+    Streak = failures so far minus failures at the last success; both are running
+    values over day segments. ``carried`` (actor_id, carried) adds the streak an
+    actor had before these events.
     """
     ev = audit.filter(F.col("event_type").isin("login_failed", "login_success")).select(
         "actor_id", "audit_id", "created_at", F.to_date("created_at").alias("_day"),
@@ -148,8 +149,20 @@ def lockouts(audit: DataFrame, n: int = 5) -> DataFrame:
     order = ["created_at", "audit_id"]
     total = running_sum(ev, ["actor_id"], "_day", order, {"_fails": F.col("_fail")})
     mark = running_last(total, ["actor_id"], "_day", order, {"_base": F.when(F.col("_fail") == 0, F.col("_fails"))})
-    pos = F.col("_fails") - F.coalesce("_base", F.lit(0))
-    return mark.filter((F.col("_fail") == 1) & (pos == n)).select("actor_id", "audit_id", "created_at")
+    before = F.lit(0)
+    if carried is not None:
+        mark, before = mark.join(carried, "actor_id", "left"), F.coalesce("carried", F.lit(0))
+    return mark.withColumn("run_length", F.col("_fails") - F.coalesce(F.col("_base"), -before)).select(
+        "actor_id", "audit_id", "created_at", (F.col("_fail") == 1).alias("is_failure"), "run_length")
+
+
+def locked(runs: DataFrame, n: int) -> DataFrame:
+    return runs.filter(F.col("is_failure") & (F.col("run_length") == n)).select("actor_id", "audit_id", "created_at")
+
+
+def lockouts(audit: DataFrame, n: int = 5) -> DataFrame:
+    """The event that completes ``n`` failed logins in a row."""
+    return locked(failure_runs(audit), n)
 
 
 def rate_breaches(events: DataFrame, who: str, ts: str, limit: int = 100, window: str = "1 minute") -> DataFrame:
