@@ -66,8 +66,8 @@ def _fixture_round_trip(m):
     m.raw("supplier").select(line.alias("value")).write.text(path)
     from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
     schema = StructType([StructField("supplier_id", LongType()), StructField("name", StringType()),
-                         StructField("nation_id", IntegerType()), StructField("_corrupt", StringType())])
-    back = m.spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+                         StructField("nation_id", IntegerType())])
+    back = tables.read_fixture(m.spark, path, schema, header=False)
     return back.select("supplier_id", "name", "nation_id", F.col("_corrupt").isNotNull().alias("is_bad"))
 
 

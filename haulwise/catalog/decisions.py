@@ -186,7 +186,7 @@ def register(cat) -> None:
         SELECT *, CASE WHEN decision_type = 'alternative_supplier' THEN 'llm' ELSE 'optimizer' END routed_to FROM (
           SELECT request_id, CASE "source" WHEN '1-URGENT' THEN 'customer_allocation' WHEN '2-HIGH' THEN 'po_split'
             WHEN '3-MEDIUM' THEN 'safety_stock' ELSE 'alternative_supplier' END decision_type FROM requests)"""))
-    cat.add("assemble_constraints", dc.assemble_constraints, ora("""
+    cat.add("assemble_constraints", lambda m: dc.assemble_constraints(m.staged), ora("""
         SELECT p.product_id, stock, supplier_capacity, lead_time_days, warehouse_capacity, production_capacity FROM products p
         LEFT JOIN (SELECT product_id, CAST(sum(stock_level) AS BIGINT) stock FROM inventory GROUP BY 1) a ON a.product_id = p.product_id
         LEFT JOIN (SELECT product_id, CAST(sum(CAST(capacity_score AS DECIMAL(18,3))) AS DOUBLE) supplier_capacity, min(lead_time_days) lead_time_days

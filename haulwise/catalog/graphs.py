@@ -85,6 +85,11 @@ def flow_edges(m):
     return fwd.unionByName(back)
 
 
+def stored_flow(m):
+    """The flow graph as a written table: every hop reads it again."""
+    return m.written(flow_edges(m.staged), "flow")
+
+
 def base_risk(m):
     """Own risk of every node on the flow graph: unreliability for suppliers, else 0."""
     rel = ft.reliability_now(m.shipments)
@@ -129,9 +134,9 @@ def register(cat) -> None:
         SELECT 'node' kind, node_type part, count(*) n FROM all_nodes
           WHERE node_type IN ('supplier', 'component', 'product', 'customer') GROUP BY 1, 2
         UNION ALL SELECT 'edge', edge_type, count(*) FROM all_edges WHERE edge_type IN ('SUPPLIES', 'USED_IN', 'PLACED_BY') GROUP BY 1, 2"""))
-    cat.add("build_nodes", lambda m: g.build_nodes(m).select("node_type", "node_id", F.size("features").alias("n_features")),
+    cat.add("build_nodes", lambda m: g.build_nodes(m.staged).select("node_type", "node_id", F.size("features").alias("n_features")),
             gsql("SELECT * FROM all_nodes"))
-    cat.add("build_edges", lambda m: g.build_edges(m), gsql("SELECT * FROM all_edges"))
+    cat.add("build_edges", lambda m: g.build_edges(m.staged), gsql("SELECT * FROM all_edges"))
     cat.add("infer_manufactured_at", lambda m: g.infer_manufactured_at(m.routed)[0], gsql("SELECT * FROM made_at"))
     cat.add("ambiguous_factories", lambda m: g.infer_manufactured_at(m.routed)[1], ora("""
         SELECT 'orders' table_name, order_id row_id, 'factory_id' AS field, 'ambiguous factory' reason
@@ -171,6 +176,7 @@ def register(cat) -> None:
 
     def validate(m):
         # the graph one day late: newest shipments have edges but no node yet
+        m = m.staged
         nodes = g.build_nodes(m, ["supplier", "component", "product", "customer", "order"])
         return g.validate_graph(nodes, g.build_edges(m, ["SUPPLIES", "USED_IN", "FULFILLS", "PLACED_BY"]))
     cat.add("validate_graph", validate, gsql("""
@@ -190,16 +196,16 @@ def register(cat) -> None:
     cat.add("graph_equal", equal, """
         SELECT CAST(p_partkey AS VARCHAR) src, p_brand dst, CAST(p_size AS DOUBLE) quantity, 'left_only' side FROM part WHERE p_size < 3
         UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_brand, 3.0::DOUBLE, 'right_only' FROM part WHERE p_size < 3""")
-    cat.add("graph_summary", lambda m: g.graph_summary(g.build_nodes(m), g.build_edges(m)), gsql("""
+    cat.add("graph_summary", lambda m: g.graph_summary(g.build_nodes(m.staged), g.build_edges(m.staged)), gsql("""
         SELECT 'node' kind, node_type part, count(*) n FROM all_nodes GROUP BY 1, 2
         UNION ALL SELECT 'edge', edge_type, count(*) FROM all_edges GROUP BY 1, 2"""))
-    cat.add("degree", lambda m: g.degree(g.build_edges(m)), gsql("""
+    cat.add("degree", lambda m: g.degree(g.build_edges(m.staged)), gsql("""
         SELECT node_type, node_id, CAST(sum(i) AS BIGINT) in_degree, CAST(sum(o) AS BIGINT) out_degree FROM (
           SELECT src_type node_type, src node_id, 0 i, 1 o FROM all_edges UNION ALL SELECT dst_type, dst, 1, 0 FROM all_edges)
         GROUP BY 1, 2"""))
 
     # -- traversal ---------------------------------------------------------------------------
-    cat.add("blast_radius", lambda m: tv.blast_radius(flow_edges(m), worst_supplier(m).select(
+    cat.add("blast_radius", lambda m: tv.blast_radius(stored_flow(m), worst_supplier(m.staged).select(
         F.lit("supplier").alias("node_type"), F.col("supplier_id").cast("string").alias("node_id")), 3),
         gsql("SELECT node_type, node_id, min(hop) hop FROM reach GROUP BY 1, 2"))
     cat.add("supplier_dependents", lambda m: tv.supplier_dependents(
@@ -251,8 +257,8 @@ def register(cat) -> None:
         FROM part, (SELECT min(p_retailprice) lo, max(p_retailprice) hi FROM part) GROUP BY 1, 2
         UNION ALL SELECT 'shipment', CAST(shipment_id AS VARCHAR), NULL, NULL, round(risk, 6)
         FROM shipments JOIN base_risk ON node_type = 'supplier' AND node_id = CAST(supplier_id AS VARCHAR)"""))
-    cat.add("propagate_risk", lambda m: tv.propagate_risk(base_risk(m), flow_edges(m), 3, 0.6),
-            gsql("SELECT node_type, node_id, round(score, 6) score FROM hop3"))
+    cat.add("propagate_risk", lambda m: tv.propagate_risk(m.written(base_risk(m.staged), "base"), stored_flow(m), 3, 0.6),
+            gsql("SELECT node_type, node_id, round(score, 9) score FROM hop3"))
 
 
 def _induced_sql() -> str:

@@ -47,7 +47,7 @@ def open_cells(m):
 
 
 def register(cat) -> None:
-    cat.add("suppliers_at_risk", lambda m: rk.at_risk_suppliers(m), ssql("""
+    cat.add("suppliers_at_risk", lambda m: rk.at_risk_suppliers(m.staged), ssql("""
         SELECT e.*, coalesce(affected_orders, 0) affected_orders
         FROM (SELECT * FROM enriched ORDER BY impact_score DESC, supplier_id LIMIT 20) e LEFT JOIN touched t ON t.supplier_id = e.supplier_id
         """).replace("e.*", "e.supplier_id, e.name AS name, impact_score, confidence, risk_category, scoring_method, model_version, architecture"))

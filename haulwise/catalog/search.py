@@ -118,7 +118,7 @@ def invoices(m):
 
 def bundle(m):
     scores = rk.enrich(m.supplier_signals)
-    hits = ev.retrieve(questions(m), m.chunks, AS_OF).join(questions(m).select("query_id", "supplier_id"), "query_id")
+    hits = ev.retrieve(questions(m), m.index, AS_OF).join(questions(m).select("query_id", "supplier_id"), "query_id")
     return ev.evidence_bundle(scores, rk.formula_breakdown(m.supplier_signals, "supplier_id"), hits)
 
 
@@ -162,13 +162,13 @@ def register(cat) -> None:
         "chunk_id", "collection", "supplier_id", "published_at"), esql("""
         SELECT chunk_id, collection, supplier_id, published_at FROM chunks WHERE collection IN ('incidents', 'contracts') AND supplier_id = 7
           AND published_at >= DATE '2024-03-01'"""))
-    cat.add("vector_search", lambda m: ev.vector_search(questions(m), m.chunks, 20), esql("SELECT * FROM vec_hits"))
-    cat.add("keyword_search", lambda m: ev.keyword_search(questions(m), m.chunks, 20), esql("SELECT * FROM kw_hits"))
-    cat.add("rrf", lambda m: ev.rrf(ev.vector_search(questions(m), m.chunks, 20), ev.keyword_search(questions(m), m.chunks, 20)),
+    cat.add("vector_search", lambda m: ev.vector_search(questions(m), m.index, 20), esql("SELECT * FROM vec_hits"))
+    cat.add("keyword_search", lambda m: ev.keyword_search(questions(m), m.index, 20), esql("SELECT * FROM kw_hits"))
+    cat.add("rrf", lambda m: ev.rrf(ev.vector_search(questions(m), m.index, 20), ev.keyword_search(questions(m), m.index, 20)),
             esql("SELECT * FROM fused"))
-    cat.add("rerank", lambda m: ev.rerank(ev.rrf(ev.vector_search(questions(m), m.chunks, 20), ev.keyword_search(questions(m), m.chunks, 20)),
-                                          m.chunks, questions(m), AS_OF), esql("SELECT * FROM reranked"))
-    cat.add("retrieve", lambda m: ev.retrieve(questions(m), m.chunks, AS_OF), esql("SELECT * FROM retrieved"))
+    cat.add("rerank", lambda m: ev.rerank(ev.rrf(ev.vector_search(questions(m), m.index, 20), ev.keyword_search(questions(m), m.index, 20)),
+                                          m.index, questions(m), AS_OF), esql("SELECT * FROM reranked"))
+    cat.add("retrieve", lambda m: ev.retrieve(questions(m), m.index, AS_OF), esql("SELECT * FROM retrieved"))
     cat.add("index_increment", lambda m: ev.index_increment(indexed(m), m.raw("documents").select("doc_id", "text")).select("doc_id", "content_hash"),
             "SELECT doc_id, md5(text) content_hash FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0")
 
@@ -181,7 +181,7 @@ def register(cat) -> None:
         SELECT doc_id, v first_number, CASE WHEN v IS NULL THEN 'failed' ELSE 'parsed' END state FROM (
           SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS INTEGER) v FROM documents)""")
     cat.add("retrieval_relevance", lambda m: ev.retrieval_relevance(
-        ev.retrieve(questions(m), m.chunks, AS_OF), questions(m), m.raw("labels").filter("quality = 1")), esql("""
+        ev.retrieve(questions(m), m.index, AS_OF), questions(m), m.raw("labels").filter("quality = 1")), esql("""
         SELECT count(*) n_queries, round(avg(CASE WHEN query_id IN (SELECT query_id FROM retrieved WHERE doc_id IN
           (SELECT doc_id FROM labels WHERE quality = 1)) THEN 1.0 ELSE 0.0 END), 6) relevance FROM questions"""))
     cat.add("evidence_bundle", bundle)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,8 +49,8 @@ def chunk(docs: DataFrame, key: str, text: str, size: int = 400, overlap: int =
     read once and never leaves its row until the final explode.
     """
     step = size - overlap
-    toks = fx.tokens(F.col(text))
-    lengths = F.filter(F.transform(F.split(F.col(text), "\n"), lambda p: F.size(fx.tokens(p))), lambda n: n > 0)
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(\S+)"), 1)
+    lengths = F.filter(F.transform(F.split(F.col(text), "\n"), lambda p: F.regexp_count(p, F.lit(r"\S+"))), lambda n: n > 0)
     pieces = F.flatten(F.transform(lengths, lambda n: F.transform(
         F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int")), lambda i: F.least(F.lit(step), n - i * step).cast("int"))))
     start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("fill"), F.array(F.lit(0)).alias("starts"))
@@ -59,12 +61,18 @@ def chunk(docs: DataFrame, key: str, text: str, size: int = 400, overlap: int =
             (acc["pos"] + n).alias("pos"), F.when(full, n).otherwise(acc["fill"] + n).alias("fill"),
             F.when(full, F.concat(acc["starts"], F.array(acc["pos"]))).otherwise(acc["starts"]).alias("starts"))
 
-    base = docs.select(key, toks.alias("_t"), F.aggregate(pieces, start, add)["starts"].alias("_s")).filter(F.size("_t") > 0)
-    rows = base.select(key, "_t", "_s", F.posexplode("_s").alias("chunk_index", "_b"))
-    end = F.coalesce(F.try_element_at("_s", F.col("chunk_index") + 2), F.size("_t"))
-    begin = F.greatest(F.lit(0), F.col("_b") - overlap)
-    return rows.select(key, "chunk_index", (end - begin).alias("n_tokens"),
-                       F.array_join(F.slice("_t", begin + 1, end - begin), " ").alias("chunk_text"))
+    packed = docs.select(key, words(F.col(text)).alias("_t"), F.aggregate(pieces, start, add).alias("_p"))
+    bounds = F.arrays_zip(F.col("_p.starts").alias("b"), F.concat(
+        F.slice(F.col("_p.starts"), F.lit(2), F.greatest(F.size("_p.starts") - 1, F.lit(0))), F.array(F.col("_p.pos"))).alias("e"))
+
+    def cut_out(span: Column, i: Column) -> Column:
+        begin = F.greatest(F.lit(0), span["b"] - overlap)
+        return F.struct(i.alias("chunk_index"), (span["e"] - begin).alias("n_tokens"),
+                        F.array_join(F.slice(F.col("_t"), begin + 1, span["e"] - begin), " ").alias("chunk_text"))
+
+    # the spans are cut inside the row, so token lists are never copied per chunk
+    return packed.select(key, F.explode(F.transform(bounds, cut_out)).alias("_c")).select(
+        key, "_c.*").filter(F.col("n_tokens") > 0)
 
 
 def filter_metadata(chunks: DataFrame, collections: Sequence[str] = (), supplier_id: int | None = None,
@@ -88,24 +96,71 @@ def vector_search(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     return hits.select("query_id", F.col("item_id").alias("chunk_id"), "similarity", F.col("rank").alias("vector_rank"))
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+# A query set up to this many (query, term) rows is shipped to the tasks.
+LOCAL_QUERY_TERMS = 50_000
+MATRIX_CELLS = 8_000_000
+
+
+def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.2, b: float = 0.75,
+                   local_terms: int = LOCAL_QUERY_TERMS) -> DataFrame:
     """BM25 top-n chunks per query.
 
-    Only terms that occur in a query leave the scan of the chunks; their counts
-    are combined before the shuffle.
+    A query set of checked size goes to the tasks as one matrix, and each batch of
+    chunks returns only its n best per query. A larger set is matched by joining
+    postings; both ways give the same result.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(fx.terms(F.col("text")))).alias("term"))
-    words = chunks.select("chunk_id", fx.terms(F.col("chunk_text")).alias("_w")).select(
-        "chunk_id", F.size("_w").alias("dl"), "_w")
-    stats = words.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
-    postings = words.select("chunk_id", "dl", F.explode("_w").alias("term")).join(
+    indexed = F.col("terms") if "terms" in chunks.columns else fx.terms(F.col("chunk_text"))
+    words = chunks.select("chunk_id", indexed.alias("w"))
+    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    # a term counts once per chunk, so nothing but the totals is shuffled
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).join(
+        q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    small = q.limit(local_terms + 1).count() <= local_terms
+    hits = (_bm25_matrix(q, words, stats, df, n, k1, b) if small else _bm25_join(q, words, stats, df, k1, b))
+    return top_per_key(hits, ["query_id"], [F.col("bm25").desc(), F.col("chunk_id")], n, rank="keyword_rank")
+
+
+def _bm25_join(q: DataFrame, words: DataFrame, stats: DataFrame, df: DataFrame, k1: float, b: float) -> DataFrame:
+    s = stats.select(F.struct("n", "avgdl").alias("s")).scalar()
+    postings = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(
         q.select("term").distinct(), "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    qt = q.join(df, "term").withColumn("idf", idf)
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / stats["avgdl"]))
-    scored = postings.join(qt, "term").groupBy("query_id", "chunk_id").agg(fx.r6(F.sum(weight)).alias("bm25"))
-    return top_per_key(scored, ["query_id"], [F.col("bm25").desc(), F.col("chunk_id")], n, rank="keyword_rank")
+    idf = F.ln(1 + (s["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / s["avgdl"]))
+    return postings.join(q.join(df, "term").withColumn("idf", idf), "term").groupBy("query_id", "chunk_id").agg(
+        fx.r6(F.sum(weight)).alias("bm25"))
+
+
+def _bm25_matrix(q: DataFrame, words: DataFrame, stats: DataFrame, df: DataFrame, n: int, k1: float, b: float) -> DataFrame:
+    # bounded by the check of the query set
+    pairs = q.join(df, "term").toPandas()
+    total, avgdl = stats.first()
+    vocab = pd.Index(sorted(pairs["term"].unique()))
+    ids = np.array(sorted(pairs["query_id"].unique()), dtype="int64")
+    freq = pairs.drop_duplicates("term").set_index("term")["df"].reindex(vocab).to_numpy(dtype="float64")
+    idf = np.log(1 + (total - freq + 0.5) / (freq + 0.5))
+    asks = np.zeros((len(vocab), len(ids)))
+    asks[vocab.get_indexer(pairs["term"]), np.searchsorted(ids, pairs["query_id"])] = 1.0
+    asks *= idf[:, None]
+    step = max(1, MATRIX_CELLS // max(1, len(vocab) + len(ids)))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), step):
+                part = pdf.iloc[at:at + step].sort_values("chunk_id")
+                length = part["w"].str.len().to_numpy()
+                row = np.repeat(np.arange(len(part)), length)
+                col = vocab.get_indexer(np.concatenate(part["w"].to_numpy())) if length.sum() else np.array([], dtype=int)
+                tf = np.zeros((len(part), len(vocab)))
+                np.add.at(tf, (row[col >= 0], col[col >= 0]), 1.0)
+                tf = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl)[:, None])
+                score = np.round(tf @ asks, 6)
+                order = np.argsort(-score, axis=0, kind="stable")[:n]
+                out = pd.DataFrame({"query_id": np.tile(ids, len(order)), "chunk_id": part["chunk_id"].to_numpy()[order.ravel()],
+                                    "bm25": np.take_along_axis(score, order, axis=0).ravel()})
+                yield out[out["bm25"] > 0]
+
+    return words.mapInPandas(best, "query_id bigint, chunk_id bigint, bm25 double")
 
 
 def rrf(vector_hits: DataFrame, keyword_hits: DataFrame, c: int = 60) -> DataFrame:

@@ -132,4 +132,4 @@ def propagate_risk(base: DataFrame, edges: DataFrame, hops: int, damping: float)
                 F.col("risk") * F.lit(1 - damping) + F.col("_m") * F.lit(damping)).alias("score"))
         if hop % 2 == 0 and hop < hops:
             current = cut(current)
-    return current.withColumn("score", fx.r6(F.col("score")))
+    return current.withColumn("score", F.round("score", 9))

@@ -16,6 +16,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -66,3 +67,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise reliably and forget the lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for heavy row work on a small input.
+
+    A small file is one scan task whatever the cluster; an input large enough to
+    fill the cores by itself is returned as it is, without a shuffle.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores * 128 * 1024 * 1024 else df

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import columns as fx
 from ..plans.windows import latest_per_key, top_per_key
+from ..session import scratch_path, spread
 from .tables import load
 
 # Contract terms by market segment; FURNITURE has no contract.
@@ -32,9 +33,37 @@ class Model:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return load(self.spark, self.folder, name)
+        """A source table; its files are listed once per model."""
+        if name not in self._raw:
+            self._raw[name] = load(self.spark, self.folder, name)
+        return self._raw[name]
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table in the shared folder."""
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    @cached_property
+    def staged(self) -> "Model":
+        """The same tables over order lines that were deduplicated once and written.
+
+        Plans that read the lines several times would repeat the shuffle of the
+        largest table for each use, because each use prunes other columns.
+        """
+        out = Model(self.spark, self.folder)
+        out.__dict__["lines"] = self.written(self.lines, "lines")
+        out.__dict__["staged"] = out
+        return out
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """The evidence chunks with their index terms as a written table: retrieval
+        reads it several times, and column by column."""
+        return self.written(self.chunks.withColumn("terms", fx.terms(F.col("chunk_text"))), "chunks")
 
     @property
     def as_of(self) -> Column:
@@ -269,7 +298,7 @@ class Model:
         from ..operators.evidence import chunk
         n_sup = self.raw("supplier").agg(F.count("*").alias("n")).scalar()
         collection = F.array(*[F.lit(c) for c in ("incidents", "contracts", "supplier_history")])
-        docs = self.raw("documents").select("doc_id", "text")
+        docs = spread(self.raw("documents").select("doc_id", "text"))
         vec = self.raw("embeddings").select(F.col("vec_id").alias("doc_id"),
                                             fx.doubles(F.col("embedding")).alias("embedding"))
         out = chunk(docs, "doc_id", "text", CHUNK_SIZE, CHUNK_OVERLAP)
@@ -291,7 +320,7 @@ class Model:
     @cached_property
     def supplier_signals(self) -> DataFrame:
         from ..operators.risk import supplier_signals
-        return supplier_signals(self)
+        return supplier_signals(self.staged)
 
 
 def adapt(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -43,13 +43,14 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def read_fixture(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv") -> DataFrame:
+def read_fixture(spark: SparkSession, path: str, schema: StructType, fmt: str = "csv",
+                 header: bool = True) -> DataFrame:
     """CSV or JSON-lines scenario file; bad lines are kept in ``_corrupt``."""
     full = StructType([*schema.fields, StructField("_corrupt", StringType())])
     reader = (spark.read.schema(full).option("mode", "PERMISSIVE")
               .option("columnNameOfCorruptRecord", "_corrupt"))
     if fmt == "csv":
-        return reader.option("header", "true").csv(path)
+        return reader.option("header", str(header).lower()).csv(path)
     if fmt == "json":
         return reader.json(path)
     raise ValueError(f"unsupported fixture format {fmt!r}")

@@ -62,7 +62,7 @@ def main() -> None:
     from haulwise.session import build_session
     folder, names = sys.argv[1], sys.argv[2:]
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
-                                                  "spark.ui.enabled": "false"})
+                                                  "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls = connect(folder), all_sql()
     fails = 0
