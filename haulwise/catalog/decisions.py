@@ -210,6 +210,15 @@ def register(cat) -> None:
             "objective_value": F.col("impact_score"), "optimal": F.lit(True)})
         return dc.decision_trace(dc.route(df)).select("supplier_id", "decision_trace")
     cat.add("decision_trace", trace)
+    part = lambda path: F.get_json_object("decision_trace", path)
+    cat.add("decision_trace_parts", lambda m: trace(m).select(
+        "supplier_id", part("$.risk_intelligence.risk_category").alias("risk_category"),
+        part("$.decision_intelligence.routed_to").alias("routed_to"),
+        part("$.decision_intelligence.policy_checks_passed").alias("policy_checks_passed"),
+        part("$.optimization.optimal").alias("optimal"), part("$.llm.kind").alias("kind")), ora("""
+        SELECT e.supplier_id, risk_category, CASE WHEN e.supplier_id % 2 = 0 THEN 'optimizer' ELSE 'llm' END routed_to,
+          CASE WHEN s_acctbal >= 0 THEN 'true' ELSE 'false' END policy_checks_passed, CASE WHEN e.supplier_id % 2 = 0 THEN 'true' END optimal,
+          CASE WHEN e.supplier_id % 2 = 1 THEN 'qualitative' END kind FROM enriched e JOIN supplier ON s_suppkey = e.supplier_id"""))
     cat.add("shortages", lambda m: dc.shortages(m.inventory, dc.open_demand(m)), ora("""
         SELECT i.product_id, i.warehouse_id, stock_level, open_orders, demand FROM inventory i JOIN cells_open c
           ON c.product_id = i.product_id AND c.warehouse_id = i.warehouse_id WHERE open_orders >= 2 AND demand > stock_level"""))

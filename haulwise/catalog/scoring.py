@@ -73,6 +73,14 @@ def register(cat) -> None:
             "SELECT count(*) n, 1.0::DOUBLE coverage FROM events")
     cat.add("attribution", component_attribution, ssql("SELECT * FROM attr"))
     cat.add("explanation_record", lambda m: rk.explanation_record(component_attribution(m), "supplier", "component", "SUPPLIES"))
+    def nodes(m):
+        rec = rk.explanation_record(component_attribution(m), "supplier", "component", "SUPPLIES")
+        both = F.explode(F.arrays_zip("nodes", "edges")).alias("x")
+        return rec.select("entity_type", "entity_id", both).select(
+            "entity_type", "entity_id", F.col("x.nodes.entity_id").alias("node_id"), F.col("x.edges.target").alias("target"),
+            F.col("x.nodes.contribution_weight").alias("weight"))
+    cat.add("explanation_record_nodes", nodes, ssql("""
+        SELECT 'component' entity_type, dst entity_id, src node_id, dst target, weight FROM attr"""))
     cat.add("explanation_coverage", lambda m: rk.explanation_coverage(
         vw.current_scores(m.scores).select("score_id", "entity_type", "entity_id", "risk_category"),
         m.audit_log.filter(F.col("event_type").isin("click", "view")).select(F.col("audit_id").alias("score_id"))), ssql("""

@@ -185,6 +185,13 @@ def register(cat) -> None:
         SELECT count(*) n_queries, round(avg(CASE WHEN query_id IN (SELECT query_id FROM retrieved WHERE doc_id IN
           (SELECT doc_id FROM labels WHERE quality = 1)) THEN 1.0 ELSE 0.0 END), 6) relevance FROM questions"""))
     cat.add("evidence_bundle", bundle)
+    cat.add("evidence_bundle_citations", lambda m: bundle(m).select(
+        "supplier_id", "grounded", F.size("top_factors").alias("n_factors"), F.explode_outer("citations").alias("c")).select(
+        "supplier_id", "grounded", "n_factors", F.col("c.chunk_id").alias("chunk_id"), F.col("c.rank").alias("rank")), esql("""
+        SELECT e.supplier_id, chunk_id IS NOT NULL grounded, CAST(least(3, (supplier_risk IS NOT NULL)::INT + (delay_risk IS NOT NULL)::INT
+          + (inventory_risk IS NOT NULL)::INT + (demand_risk IS NOT NULL)::INT + (financial_risk IS NOT NULL)::INT) AS INTEGER) n_factors, chunk_id, "rank"
+        FROM supplier_signals e LEFT JOIN (SELECT q.supplier_id, chunk_id, "rank" FROM retrieved r JOIN questions q ON q.query_id = r.query_id) h
+          ON h.supplier_id = e.supplier_id"""))
     cat.add("embed_tfidf", lambda m: ev.embed_tfidf(m.raw("documents"), "doc_id", "text"))
     cat.add("classify_intent", lambda m: ev.classify_intent(m.raw("conversations"), "text").select("conv_id", "turn", "intent"), r"""
         SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\b(approve|order|switch|reorder|execute|send|create)\b') THEN 'action_request'

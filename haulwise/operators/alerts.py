@@ -32,8 +32,7 @@ def metric_rows(scores: DataFrame) -> DataFrame:
 
 def evaluate_thresholds(scores: DataFrame, thr: DataFrame) -> DataFrame:
     """Breaches: value at or above the threshold of its (type, metric)."""
-    # one row per configured threshold
-    return metric_rows(scores).join(F.broadcast(thr), ["entity_type", "metric"]).filter(
+    return metric_rows(scores).join(thr, ["entity_type", "metric"]).filter(
         F.col("metric_value") >= F.col("threshold_value")).select(
         "score_id", "threshold_id", "entity_type", "entity_id", "metric", "metric_value",
         fx.category(F.col("metric_value")).alias("severity"))
@@ -43,7 +42,7 @@ def threshold_crossings(scores: DataFrame, thr: DataFrame) -> DataFrame:
     """Only upward crossings; a first score at or above the threshold counts as one."""
     rows = metric_rows(scores).withColumn("_day", F.to_date("scored_at"))
     prev = lagged(rows, ["entity_type", "entity_id", "metric"], "_day", ["scored_at", "score_id"], {"_prev": "metric_value"})
-    hit = prev.join(F.broadcast(thr), ["entity_type", "metric"]).filter(
+    hit = prev.join(thr, ["entity_type", "metric"]).filter(
         (F.col("metric_value") >= F.col("threshold_value"))
         & (F.coalesce("_prev", F.lit(-1.0)) < F.col("threshold_value")))
     return hit.select("score_id", "threshold_id", "entity_type", "entity_id", "metric", "metric_value")
@@ -80,7 +79,7 @@ def threshold_sweep(scored: DataFrame, score: str, label: str, grid: Sequence[fl
 
 def notification_records(alerts: DataFrame, owners: DataFrame) -> DataFrame:
     """One record per alert, channel and owner role of the entity type; nothing is sent."""
-    return alerts.join(F.broadcast(owners), "entity_type").select(
+    return alerts.join(owners, "entity_type").select(
         "score_id", "threshold_id", "channel", "recipient", "severity")
 
 

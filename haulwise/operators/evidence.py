@@ -96,13 +96,13 @@ def vector_search(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     return hits.select("query_id", F.col("item_id").alias("chunk_id"), "similarity", F.col("rank").alias("vector_rank"))
 
 
-# A query set up to this many (query, term) rows is shipped to the tasks.
-LOCAL_QUERY_TERMS = 50_000
-MATRIX_CELLS = 8_000_000
+# A query set whose (terms x queries) matrix has at most this many cells is shipped to the tasks.
+QUERY_CELLS = 8_000_000
+BATCH_CELLS = 8_000_000
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.2, b: float = 0.75,
-                   local_terms: int = LOCAL_QUERY_TERMS) -> DataFrame:
+                   query_cells: int = QUERY_CELLS) -> DataFrame:
     """BM25 top-n chunks per query.
 
     A query set of checked size goes to the tasks as one matrix, and each batch of
@@ -116,7 +116,8 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.
     # a term counts once per chunk, so nothing but the totals is shuffled
     df = words.select(F.explode(F.array_distinct("w")).alias("term")).join(
         q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    small = q.limit(local_terms + 1).count() <= local_terms
+    n_terms, n_queries = q.agg(F.count_distinct("term"), F.count_distinct("query_id")).first()
+    small = n_terms * n_queries <= query_cells
     hits = (_bm25_matrix(q, words, stats, df, n, k1, b) if small else _bm25_join(q, words, stats, df, k1, b))
     return top_per_key(hits, ["query_id"], [F.col("bm25").desc(), F.col("chunk_id")], n, rank="keyword_rank")
 
@@ -142,7 +143,7 @@ def _bm25_matrix(q: DataFrame, words: DataFrame, stats: DataFrame, df: DataFrame
     asks = np.zeros((len(vocab), len(ids)))
     asks[vocab.get_indexer(pairs["term"]), np.searchsorted(ids, pairs["query_id"])] = 1.0
     asks *= idf[:, None]
-    step = max(1, MATRIX_CELLS // max(1, len(vocab) + len(ids)))
+    step = max(1, BATCH_CELLS // max(1, len(vocab) + len(ids)))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -28,14 +28,17 @@ def _on_time() -> Column:
     return F.when(F.col("delivered_at") <= F.col("eta"), 1.0).otherwise(0.0)
 
 
-def reliability_history(shipments: DataFrame, n: int = 10) -> DataFrame:
-    """On-time rate over the last ``n`` deliveries of the supplier, at every delivery."""
+def reliability_history(shipments: DataFrame, n: int = 10, segment: str = "week") -> DataFrame:
+    """On-time rate over the last ``n`` deliveries of the supplier, at every delivery.
+
+    ``segment`` is the time unit by which a supplier's history is split over tasks.
+    """
     done = shipments.filter(F.col("delivered_at").isNotNull()).select(
         "supplier_id", "shipment_id", "delivered_at", _on_time().alias("on_time"),
-        F.trunc("delivered_at", "month").alias("_month"))
+        F.trunc("delivered_at", segment).alias("_seg"))
     keys, order = ["supplier_id"], ["delivered_at", "shipment_id"]
-    w = W.partitionBy("supplier_id", "_month").orderBy(*order).rowsBetween(-(n - 1), 0)
-    ctx = with_lookback(done, keys, "_month", order, n - 1)
+    w = W.partitionBy("supplier_id", "_seg").orderBy(*order).rowsBetween(-(n - 1), 0)
+    ctx = with_lookback(done, keys, "_seg", order, n - 1)
     return drop_context(ctx.withColumn("reliability", fx.r6(F.avg("on_time").over(w)))).select(
         "supplier_id", "shipment_id", "delivered_at", "reliability")
 
@@ -61,7 +64,7 @@ def one_hot(df: DataFrame, col: str, levels: Sequence[str]) -> DataFrame:
 def bucket_top_k(df: DataFrame, col: str, k: int) -> DataFrame:
     """``<col>_bucket`` (the k most frequent values, else ``other``) and its slot 1..k+1."""
     top = df.groupBy(col).agg(F.count("*").alias("_n")).orderBy(F.col("_n").desc(), F.col(col)).limit(k)
-    # k rows at most
+    # k rows at most: one task orders them and every task may hold them
     ranked = top.withColumn("_slot", F.row_number().over(W.orderBy(F.col("_n").desc(), F.col(col)))).drop("_n")
     return (df.join(F.broadcast(ranked), col, "left")
             .withColumn(f"{col}_bucket", F.when(F.col("_slot").isNotNull(), F.col(col)).otherwise("other"))
@@ -119,18 +122,18 @@ def financial_risk(df: DataFrame, balance: str, available: Column) -> DataFrame:
 
 
 def as_of_features(facts: DataFrame, history: DataFrame, key: str, fact_ts: str, fact_id: str,
-                   hist_ts: str, value: str) -> DataFrame:
+                   hist_ts: str, value: str, segment: str = "week") -> DataFrame:
     """Each fact with the newest history value strictly before it (leak guard).
 
     Facts and history are one stream ordered by time; at equal times the fact
-    comes first. The running value is carried by (key, month) segments.
+    comes first. The running value is carried over (key, ``segment``) pieces.
     """
     f = facts.select(F.col(key), F.col(fact_ts).alias("_ts"), F.lit(0).alias("_kind"),
                      F.col(fact_id).alias("_id"), F.lit(None).cast("double").alias("_v"))
     h = history.select(F.col(key), F.col(hist_ts).alias("_ts"), F.lit(1).alias("_kind"),
                        F.lit(None).cast("bigint").alias("_id"), F.col(value).cast("double").alias("_v"))
-    stream = f.unionByName(h).withColumn("_month", F.trunc("_ts", "month"))
-    out = running_last(stream, [key], "_month", ["_ts", "_kind", "_id", "_v"], {"_last": F.col("_v")})
+    stream = f.unionByName(h).withColumn("_seg", F.trunc("_ts", segment))
+    out = running_last(stream, [key], "_seg", ["_ts", "_kind", "_id", "_v"], {"_last": F.col("_v")})
     return out.filter(F.col("_kind") == 0).select(
         key, F.col("_id").alias(fact_id), F.col("_ts").alias(fact_ts), F.col("_last").alias(value))
 
@@ -213,6 +216,5 @@ def edge_features(edges: DataFrame, as_of: Column) -> DataFrame:
                     F.try_divide(F.col("quantity"), F.nullif("threshold", F.lit(0.0))))
              .when(F.col("edge_type") == "SHIPS_TO", F.datediff("due", as_of).cast("double"))
              .otherwise(scaled))
-    # one row per edge type
-    return edges.join(F.broadcast(lo_hi), "edge_type").select(
+    return edges.join(lo_hi, "edge_type").select(
         "edge_type", "src", "dst", fx.r6(F.coalesce(value, F.lit(0.0))).alias("edge_feature"))

@@ -77,10 +77,10 @@ def running_sum(df: DataFrame, keys: Sequence[str], segment: str, order: Sequenc
     names = list(sums)
     totals = df.groupBy(*keys, segment).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
     offsets = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(segment).alias("_seg"),
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(segment).alias("_carry_seg"),
         *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_o_{n}") for n in names])
     local = df.withColumns({n: F.sum(v).over(inner) for n, v in sums.items()})
-    cond = F.col(segment).eqNullSafe(F.col("_seg"))
+    cond = F.col(segment).eqNullSafe(F.col("_carry_seg"))
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = local.join(offsets, cond)
@@ -100,10 +100,10 @@ def running_last(df: DataFrame, keys: Sequence[str], segment: str, order: Sequen
     ends = df.groupBy(*keys, segment).agg(*[
         F.max_by(v, F.when(v.isNotNull(), rank)).alias(f"_e_{n}") for n, v in values.items()])
     carry = ends.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(segment).alias("_seg"),
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(segment).alias("_carry_seg"),
         *[F.last(f"_e_{n}", ignorenulls=True).over(outer).alias(f"_c_{n}") for n in names])
     local = df.withColumns({n: F.last(v, ignorenulls=True).over(inner) for n, v in values.items()})
-    cond = F.col(segment).eqNullSafe(F.col("_seg"))
+    cond = F.col(segment).eqNullSafe(F.col("_carry_seg"))
     for i, k in enumerate(keys):
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = local.join(carry, cond)

@@ -293,7 +293,7 @@ def test_keyword_search_ways_agree(spark):
     text = lambda n: " ".join(f"w{int(rnd.expovariate(0.2))}" for _ in range(n))
     chunks = spark.createDataFrame([(i, text(rnd.randrange(1, 40))) for i in range(80)], "chunk_id bigint, chunk_text string")
     queries = spark.createDataFrame([(i, text(5)) for i in range(7)], "query_id bigint, text string")
-    assert rows(ev.keyword_search(queries, chunks, 6)) == rows(ev.keyword_search(queries, chunks, 6, local_terms=0))
+    assert rows(ev.keyword_search(queries, chunks, 6)) == rows(ev.keyword_search(queries, chunks, 6, query_cells=0))
 
 
 def test_rrf_uses_both_lists_and_filters_apply(spark):

@@ -69,8 +69,8 @@ def test_nested_in_parts_keeps_everything(events):
     assert got.filter("k = 0").count() > 10
 
 
-@pytest.mark.parametrize("tile_rows", [7, 1000])
-def test_top_k_dot_equals_brute_force(spark, tile_rows):
+@pytest.mark.parametrize("tile_rows, local", [(7, 0), (1000, 0), (7, 1000)])
+def test_top_k_dot_equals_brute_force(spark, tile_rows, local):
     rng = np.random.default_rng(2)
     vec = np.round(rng.normal(size=(60, 5)), 1)
     block = [0 if i % 3 else i % 4 for i in range(60)]
@@ -78,7 +78,7 @@ def test_top_k_dot_equals_brute_force(spark, tile_rows):
     q = spark.createDataFrame(rows, "query_id bigint, block int, vec array<double>")
     c = spark.createDataFrame(rows, "item_id bigint, block int, vec array<double>")
     got = {}
-    for r in top_k_dot(q, c, 3, exclude_self=True, tile_rows=tile_rows).collect():
+    for r in top_k_dot(q, c, 3, exclude_self=True, tile_rows=tile_rows, local_queries=local).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.item_id))
     for i in range(60):
         want = sorted((-round(float(vec[i] @ vec[j]), 6), j) for j in range(60) if block[j] == block[i] and j != i)[:3]
