@@ -183,10 +183,15 @@ def register(cat) -> None:
         SELECT 'shipment' node_type, CAST(shipment_id AS VARCHAR) node_id, 'dangling_edge' problem FROM shipments
         UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), 'orphan_node' FROM supplier WHERE s_suppkey NOT IN (SELECT supplier_id FROM lines)
         UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), 'orphan_node' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""))
-    cat.add("validate_placed_by", lambda m: g.validate_placed_by(
-        g.build_nodes(m, ["order", "customer"]), g.build_edges(m, ["PLACED_BY"])), """
+    def placed_by(m):
+        # links of at-risk orders have not arrived yet
+        linked = m.orders.filter(F.col("status") != "at_risk").select(F.col("order_id").cast("string").alias("src"))
+        edges = g.build_edges(m, ["PLACED_BY"]).join(linked, "src", "left_semi")
+        return g.validate_placed_by(g.build_nodes(m, ["order", "customer"]), edges)
+    cat.add("validate_placed_by", placed_by, """
         SELECT 'customer' node_type, CAST(c_custkey AS VARCHAR) node_id, 'notice' AS "level" FROM customer
-        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P')
+        UNION ALL SELECT 'order', CAST(o_orderkey AS VARCHAR), 'error' FROM orders WHERE o_orderstatus = 'P'""")
 
     def equal(m):
         a = g.build_edges(m, ["USED_IN"]).select("src", "dst", "quantity")

@@ -98,6 +98,7 @@ def vector_search(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
 
 # A query set whose (terms x queries) matrix has at most this many cells is shipped to the tasks.
 QUERY_CELLS = 8_000_000
+QUERY_ROWS = 500_000
 BATCH_CELLS = 8_000_000
 
 
@@ -116,8 +117,8 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.
     # a term counts once per chunk, so nothing but the totals is shuffled
     df = words.select(F.explode(F.array_distinct("w")).alias("term")).join(
         q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n_terms, n_queries = q.agg(F.count_distinct("term"), F.count_distinct("query_id")).first()
-    small = n_terms * n_queries <= query_cells
+    n_rows, n_terms, n_queries = q.agg(F.count("*"), F.count_distinct("term"), F.count_distinct("query_id")).first()
+    small = n_rows <= QUERY_ROWS and n_terms * n_queries <= query_cells
     hits = (_bm25_matrix(q, words, stats, df, n, k1, b) if small else _bm25_join(q, words, stats, df, k1, b))
     return top_per_key(hits, ["query_id"], [F.col("bm25").desc(), F.col("chunk_id")], n, rank="keyword_rank")
 

@@ -68,47 +68,44 @@ def lagged(df: DataFrame, keys: Sequence[str], segment: str, order: Sequence[str
     return drop_context(out.withColumns({new: F.lag(src).over(w) for new, src in columns.items()}))
 
 
+def _with_carry(df: DataFrame, carry: DataFrame) -> DataFrame:
+    """Rows plus one leading row per (key, segment) that holds the carried values.
+
+    Joining the carry on would shuffle the rows a second time; as a row of the
+    same partition it costs nothing. ``_lead`` sorts it first.
+    """
+    return df.withColumn("_lead", F.lit(1)).unionByName(
+        carry.withColumn("_lead", F.lit(0)), allowMissingColumns=True)
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], segment: str, order: Sequence[Column | str],
-                sums: dict[str, Column], descending: bool = False) -> DataFrame:
+                sums: dict[str, Column]) -> DataFrame:
     """Inclusive running sums per key: ``sums`` maps new name to the summed value."""
-    inner = W.partitionBy(*keys, segment).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    seg_order = F.col(segment).desc() if descending else F.col(segment).asc()
-    outer = W.partitionBy(*keys).orderBy(seg_order).rowsBetween(W.unboundedPreceding, -1)
-    names = list(sums)
-    totals = df.groupBy(*keys, segment).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
-    offsets = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(segment).alias("_carry_seg"),
-        *[F.coalesce(F.sum(f"_t_{n}").over(outer), F.lit(0)).alias(f"_o_{n}") for n in names])
-    local = df.withColumns({n: F.sum(v).over(inner) for n, v in sums.items()})
-    cond = F.col(segment).eqNullSafe(F.col("_carry_seg"))
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    out = local.join(offsets, cond)
-    return out.withColumns(
-        {n: F.coalesce(F.col(n), F.lit(0)) + F.col(f"_o_{n}") for n in names}
-    ).select(*df.columns, *names)
-
-
-def running_last(df: DataFrame, keys: Sequence[str], segment: str, order: Sequence[Column | str],
+    keys, names = list(keys), list(sums)
+    outer = W.partitionBy(*keys).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
+    inner = W.partitionBy(*keys, segment).orderBy("_lead", *order).rowsBetween(W.unboundedPreceding, 0)
+    valued = df.withColumns({f"_v_{n}": v for n, v in sums.items()})
+    totals = valued.groupBy(*keys, segment).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    carry = totals.select(*keys, segment, *[F.sum(f"_t_{n}").over(outer).alias(f"_v_{n}") for n in names])
+    out = _with_carry(valued, carry).withColumns(
+        {n: F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)) for n in names})
+    return out.filter(F.col("_lead") == 1).select(*df.columns, *names)
+
+
+def running_last(df: DataFrame, keys: Sequence[str], segment: str, order: Sequence[str],
                  values: dict[str, Column], inclusive: bool = True) -> DataFrame:
     """Last non-null value so far per key: ``values`` maps new name to the value."""
-    end = 0 if inclusive else -1
-    inner = W.partitionBy(*keys, segment).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
+    keys, names = list(keys), list(values)
     outer = W.partitionBy(*keys).orderBy(segment).rowsBetween(W.unboundedPreceding, -1)
-    names = list(values)
-    rank = F.struct(*order)
-    ends = df.groupBy(*keys, segment).agg(*[
-        F.max_by(v, F.when(v.isNotNull(), rank)).alias(f"_e_{n}") for n, v in values.items()])
-    carry = ends.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(segment).alias("_carry_seg"),
-        *[F.last(f"_e_{n}", ignorenulls=True).over(outer).alias(f"_c_{n}") for n in names])
-    local = df.withColumns({n: F.last(v, ignorenulls=True).over(inner) for n, v in values.items()})
-    cond = F.col(segment).eqNullSafe(F.col("_carry_seg"))
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    out = local.join(carry, cond)
-    return out.withColumns({n: F.coalesce(F.col(n), F.col(f"_c_{n}")) for n in names}
-                           ).select(*df.columns, *names)
+    inner = W.partitionBy(*keys, segment).orderBy("_lead", *order).rowsBetween(
+        W.unboundedPreceding, 0 if inclusive else -1)
+    valued = df.withColumns({f"_v_{n}": v for n, v in values.items()})
+    ends = valued.groupBy(*keys, segment).agg(*[
+        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), F.struct(*order))).alias(f"_e_{n}") for n in names])
+    carry = ends.select(*keys, segment, *[
+        F.last(f"_e_{n}", ignorenulls=True).over(outer).alias(f"_v_{n}") for n in names])
+    out = _with_carry(valued, carry).withColumns({n: F.last(f"_v_{n}", ignorenulls=True).over(inner) for n in names})
+    return out.filter(F.col("_lead") == 1).select(*df.columns, *names)
 
 
 def nested_in_parts(df: DataFrame, keys: Sequence[str], item: Column, order: Column,

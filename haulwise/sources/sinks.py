@@ -18,10 +18,12 @@ def write_warnings(df: DataFrame, path: str) -> None:
 
 
 def write_graph_snapshot(nodes: DataFrame, edges: DataFrame, path: str, snapshot_id: str) -> None:
-    """Persist one graph version; a snapshot id is written once."""
-    tagged = lambda df: df.withColumn("snapshot_id", F.lit(snapshot_id))
-    tagged(nodes).write.mode("append").partitionBy("snapshot_id", "node_type").parquet(f"{path}/nodes")
-    tagged(edges).write.mode("append").partitionBy("snapshot_id", "edge_type").parquet(f"{path}/edges")
+    """Persist one graph version; writing the same id again replaces only its partitions."""
+    def put(df: DataFrame, part: str, kind: str) -> None:
+        (df.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id", kind).parquet(f"{path}/{part}"))
+    put(nodes, "nodes", "node_type")
+    put(edges, "edges", "edge_type")
 
 
 def read_graph_snapshot(spark: SparkSession, path: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:

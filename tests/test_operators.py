@@ -329,3 +329,34 @@ def test_auc_matches_the_evaluator(spark):
     assert abs(ln.roc_auc(df, "p", "label").first()["auc"] - want) < 1e-6
     bins = ln.calibration_bins(df, "p", "label", 10)
     assert bins.agg(F.sum("n")).first()[0] == 500
+
+
+# -- files --------------------------------------------------------------------------------------------
+
+def test_fixture_files_keep_bad_lines(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+    from haulwise.sources.tables import read_fixture
+    schema = StructType([StructField("id", IntegerType()), StructField("name", StringType())])
+    (tmp_path / "a.csv").write_text("id,name\n1,x\nbad,y\n")
+    (tmp_path / "b.json").write_text('{"id": 1, "name": "x"}\n{broken\n')
+    for fmt, name in (("csv", "a.csv"), ("json", "b.json")):
+        got = read_fixture(spark, str(tmp_path / name), schema, fmt).collect()
+        assert len(got) == 2 and sum(r["_corrupt"] is not None for r in got) == 1
+
+
+def test_snapshot_written_twice_is_one_snapshot(spark, tmp_path):
+    from haulwise.sources.sinks import read_graph_snapshot, write_graph_snapshot
+    nodes = spark.createDataFrame([("a", "1")], "node_type string, node_id string")
+    edges = spark.createDataFrame([("E", "1", "1")], "edge_type string, src string, dst string")
+    for snap in ("s1", "s2", "s1"):
+        write_graph_snapshot(nodes, edges, str(tmp_path), snap)
+    n, e = read_graph_snapshot(spark, str(tmp_path), "s1")
+    assert n.count() == 1 and e.count() == 1
+
+
+def test_page_rejects_bad_numbers(spark):
+    from haulwise.sources.tables import page
+    df = spark.range(45)
+    assert [r.id for r in page(df, [F.col("id")], 3, 20).collect()] == [40, 41, 42, 43, 44]
+    with pytest.raises(ValueError):
+        page(df, [F.col("id")], 0)
