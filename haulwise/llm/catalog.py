@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import langid, lines, neardup, packing, quality
+from . import ann, langid, licenses, lines, neardup, packing, pieces, quality, urls
 
 # The vocabulary files belong to an installed package and are only named here.
-BYTE_BPE, BYTE_BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+BYTE_BPE, BYTE_BPE_RANKS, PIECE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,11 +29,31 @@ def pack(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = licenses.scan(licenses.document_paths(_table(spark, folder, "documents")))
+    return scanned.withColumnRenamed("key", "doc_id")
+
+
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages")
+    found = urls.evaluate(urls.page_captures(pages), urls.page_entries(pages))
+    return found.withColumns({c: F.unix_timestamp(c) for c in ("fetched", "active_since")})
+
+
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return quality.judge(docs, quality.fit(docs, _table(spark, folder, "labels")))
 
 
+def sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+    return pieces.round_trip(_table(spark, folder, "documents"), tokenizers.path(PIECE_BPE))
+
+
 def minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.duplicate_groups(_table(spark, folder, "documents"), k=2)
 
@@ -53,7 +73,11 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": pack,
+        "op2_license_scan": license_scan,
+        "op3_url_filter": url_filter,
+        "op4_nearest_vectors": nearest_vectors,
         "op5_quality_rules": quality_rules,
+        "op6_sentence_pieces": sentence_pieces,
         "op8_minhash_near_dedup": minhash,
         "op9_line_dedup": line_dedup,
         "op10_language_id": language_id,
@@ -62,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
-    return {"op9_line_dedup": lines.SQL}
+    return {"op3_url_filter": urls.SQL, "op9_line_dedup": lines.SQL}
