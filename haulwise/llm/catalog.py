@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import ann, langid, licenses, lines, neardup, packing, pieces, quality, urls
+from . import ann, katz, langid, licenses, lines, neardup, packing, pieces, quality, urls
 
 # The vocabulary files belong to an installed package and are only named here.
 BYTE_BPE, BYTE_BPE_RANKS, PIECE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -54,6 +54,13 @@ def sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trip(_table(spark, folder, "documents"), tokenizers.path(PIECE_BPE))
 
 
+def lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    fold = _fold(F.col("doc_id"), 7)
+    scored = katz.score_documents(docs, fold != 2)
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def minhash(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.duplicate_groups(_table(spark, folder, "documents"), k=2)
 
@@ -78,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_nearest_vectors": nearest_vectors,
         "op5_quality_rules": quality_rules,
         "op6_sentence_pieces": sentence_pieces,
+        "op7_katz_score": lm_score,
         "op8_minhash_near_dedup": minhash,
         "op9_line_dedup": line_dedup,
         "op10_language_id": language_id,
