@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
+from .store import staged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,14 +24,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node of its component) for all nodes of ``edges`` (a < b).
 
-    Each round is checkpointed; the loop ends when a round changes nothing, which is
+    Each round is a written table; the loop ends when a round changes nothing, which is
     read from a count and a checksum of the edges.
     """
-    edges = cut(edges.select("a", "b").distinct())
+    edges = staged(edges.select("a", "b").distinct(), "edges")
     state = None
     while True:
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state or not now[0]:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a")).distinct()
         state = now
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct())
+        edges = staged(_small_star(_large_star(edges).distinct()).distinct(), "edges")

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import scratch_path
+from .store import staged
 from .text import Words, join2, mix, slices
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 HOT_PARTS = 16
 TURING = 5
 _U = np.uint64
@@ -243,8 +243,8 @@ def _freed(counts: DataFrame, model: Model) -> DataFrame:
     """Per history: mass its discounts free, and unigram mass of the words seen after it; hot histories in part -1."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                b = Bucket(row, model)
+            for i in range(batch.num_rows):
+                b = Bucket(batch.slice(i, 1).to_pylist()[0], model)
                 h, spot = np.unique(b.ph, return_inverse=True)
                 left = np.bincount(spot, weights=b.pc - model.pairs(b.pc), minlength=len(h))
                 seen = np.bincount(spot, weights=b.unigram(b.count(b.pw)), minlength=len(h))
@@ -279,11 +279,8 @@ def _discounted_sum(counts: DataFrame, words: Discount) -> float:
 
 def fit(train: DataFrame, everything: DataFrame, buckets: int) -> tuple[Model, DataFrame, DataFrame]:
     """Count ``train`` (text); hot words are judged on ``everything``. Returns the model and its two written tables."""
-    spark = train.sparkSession
     hot = _hot_words(everything, buckets)
-    path = scratch_path(spark, "katz-counts")
-    _count(train, hot, buckets).write.parquet(path)
-    counts = spark.read.parquet(path)
+    counts = staged(_count(train, hot, buckets), "counts")
     got = {(r.kind, r.key): r.n for r in _totals(counts, hot)}
     tokens, kinds = got.get((0, 0), 0), got.get((0, 1), 0)
     words, pairs = (good_turing({r: n for (kind, r), n in got.items() if kind == k}) for k in (1, 2))
@@ -295,9 +292,8 @@ def fit(train: DataFrame, everything: DataFrame, buckets: int) -> tuple[Model, D
     h, weight = _weights(few) if few.num_rows else (np.zeros(0, np.uint64), np.zeros(0))
     at, found = _lookup(h, hot & _HIGH)
     model = model._replace(hot_weights=np.where(found, weight[at] if len(weight) else 0.0, 0.0))
-    path = scratch_path(spark, "katz-weights")
-    (_freed(counts, model).filter("part >= 0").groupBy("part").applyInArrow(_merged_weights, "part int, h binary, weight binary").write.parquet(path))
-    return model, counts, spark.read.parquet(path)
+    weights = _freed(counts, model).filter("part >= 0").groupBy("part").applyInArrow(_merged_weights, "part int, h binary, weight binary")
+    return model, counts, staged(weights, "weights")
 
 
 _SENT = "bucket int, chunk long, ids binary, counts binary, word binary, at binary, h binary"
@@ -396,10 +392,7 @@ def _summed(model: Model):
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, weights: DataFrame) -> DataFrame:
     """Per row of ``docs`` (row: an integer to carry along, text): n_tokens, n_known, base_score and score."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "katz-answers")
-    (_questions(docs, model).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_answers(model), _BACK).write.parquet(path))
-    answers = spark.read.parquet(path)
+    answers = staged(_questions(docs, model).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_answers(model), _BACK), "answers")
     backed = (answers.filter("part >= 0").select("part", "chunk", "h", "text").groupBy("part")
               .cogroup(weights.groupBy("part")).applyInArrow(_backed, "chunk long, text binary, score binary"))
     parts = answers.filter("part = -1").select("chunk", "ids", "counts", "score", "base", "known").unionByName(backed, allowMissingColumns=True)

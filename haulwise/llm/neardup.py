@@ -6,9 +6,10 @@ sets form a class with its smallest doc_id as representative. Representatives ge
 ``BANDS * ROWS`` minima of universal hashes; two that agree on a whole band share a
 bucket. At a similarity of 0.8 a pair shares no bucket with probability
 (1 - 0.8 ** ROWS) ** BANDS = 5e-9. In a bucket only pairs of different components are
-compared, first with the ends of the bucket, and what is then still apart pair by
-pair, so that a large group of copies costs pairs in proportion to its size. A pair
-must agree on enough minima and is confirmed on the full sets. Components come from
+compared: first with the ends of the bucket, so that a large group of copies costs
+pairs in proportion to its size; what is then still apart pair by pair, in large
+buckets inside tasks over blocks of members. A pair must agree on enough minima and
+is confirmed on the full sets. Components come from
 alternating large-star and small-star.
 
 Defined results: rows that share a doc_id are one node; a null doc_id is linked with
@@ -24,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut, scratch_path
 from .graph import components
+from .store import staged
 from .text import Words, join2, mix, slices
 
 SHINGLE = 5
@@ -33,7 +34,10 @@ PERCENT = 80
 ROWS, BANDS = 5, 48
 # Agreement of the minima below which a pair is dropped unseen: five standard errors under 0.8.
 AGREE = 0.8 - 5 * (0.8 * 0.2 / (ROWS * BANDS)) ** 0.5
-STAR_ROUNDS = 3
+# Bands of the first round; buckets up to this size, and blocks of larger ones, in the last.
+FIRST_BANDS = 3
+SMALL_BUCKET = 32
+BLOCK = 256
 _U = np.uint64
 
 
@@ -111,12 +115,6 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def _verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose minima agree and whose full sets reach the similarity."""
     close = (pairs.join(signs.toDF("a", "na", "sa"), "a").join(signs.toDF("b", "nb", "sb"), "b")
@@ -130,10 +128,57 @@ def _verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int)
 def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets that still hold two components, with the two ends of their bucket."""
     named = members.join(roots, members["doc"] == roots["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-    ends = named.groupBy("key").agg(F.min(F.struct("root", "doc")).alias("low"), F.max(F.struct("root", "doc")).alias("high"))
+    ends = named.groupBy("key").agg(F.min(F.struct("root", "doc")).alias("low"), F.max(F.struct("root", "doc")).alias("high"), F.count("*").alias("size"))
     return named.join(ends.filter("low.root < high.root"), "key")
 
 
+def _by_blocks(apart: DataFrame, roots: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between members of large buckets that are still apart, found inside tasks.
+
+    Members that such buckets connect form a cluster, which is dealt into blocks; a task
+    compares two blocks and returns no more links than join what it holds.
+    """
+    edges = apart.filter("low <> doc").select(F.least("low", "doc").alias("a"), F.greatest("low", "doc").alias("b"))
+    clusters = components(edges).toDF("doc", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    full = (placed.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+            .join(signs, "doc").join(sets, "doc"))
+    pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "root", "sign", "shingles")
+
+    def work(table: pa.Table) -> pa.Table:
+        doc, root = table.column("doc").to_numpy(), table.column("root").to_numpy()
+        sign = np.frombuffer(b"".join(table.column("sign").to_pylist()), np.uint32).reshape(len(doc), ROWS * BANDS)
+        column = table.column("shingles").combine_chunks()
+        bounds, values = column.offsets.to_numpy(), column.values.to_numpy()
+        held = [values[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+        own, first = table.column("own").to_numpy(), table.column("i").to_numpy()
+        left = np.flatnonzero(own == first)
+        right = np.flatnonzero(own != first) if (table.column("j").to_numpy() != first).any() else left
+        parent = {int(r): int(r) for r in root}
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+        out: tuple[list, list] = ([], [])
+        for x in left:
+            close = right[((sign[right] == sign[x]).mean(axis=1) >= AGREE) & (root[right] != root[x])]
+            for y in close:
+                if top(int(root[x])) == top(int(root[y])):
+                    continue
+                n, m = len(held[x]), len(held[y])
+                common = len(np.intersect1d(held[x], held[y], assume_unique=True)) if 100 * min(n, m) >= percent * max(n, m) else 0
+                if 100 * common >= percent * (n + m - common):
+                    parent[top(int(root[x]))] = top(int(root[y]))
+                    out[0].append(min(doc[x], doc[y]))
+                    out[1].append(max(doc[x], doc[y]))
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+    return pairs.groupBy("cluster", "i", "j").applyInArrow(work, "a long, b long")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
 
@@ -142,34 +187,38 @@ def duplicate_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     kind = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = _staged(docs.mapInArrow(_sketch(k), "doc_id long, n long, fp binary, sign binary, bands array<long>"), "sketches")
+    sketch = staged(docs.mapInArrow(_sketch(k), "doc_id long, n long, fp binary, sign binary, bands array<long>"), "sketches")
     some = sketch.filter("n > 0 and doc_id is not null")
     classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     reps = some.join(classes.withColumnRenamed("fp", "f"), (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("f")))
-    buckets = reps.select(F.col("rep").alias("doc"), F.explode("bands").alias("key")).distinct()
+    buckets = reps.select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
-    members = _staged(buckets.join(crowded, "key").select("key", "doc"), "buckets")
+    members = staged(buckets.join(crowded, "key").select("key", "band", "doc"), "buckets")
     wanted = members.select("doc").distinct()
-    signs = _staged(reps.join(wanted, F.col("rep") == F.col("doc"), "left_semi")
+    signs = staged(reps.join(wanted, F.col("rep") == F.col("doc"), "left_semi")
                     .groupBy(F.col("rep").alias("doc")).agg(F.first("n").alias("n"), F.first("sign").alias("sign")), "signs")
-    sets = _staged(docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi")
+    sets = staged(docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi")
                    .mapInArrow(_sets(k), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    tested, roots = links, components(links)
-    for turn in range(STAR_ROUNDS + 1):
-        apart = cut(_apart(members, roots))
-        if turn < STAR_ROUNDS:
-            ends = F.explode(F.array("low", "high"))
-            pairs = apart.select("doc", "root", ends.alias("end")).filter("root <> end.root").select(F.col("doc").alias("x"), F.col("end.doc").alias("y"))
-        else:
-            other = apart.select("key", F.col("doc").alias("y"), F.col("root").alias("other"))
-            pairs = apart.join(other, "key").filter("root < other").select(F.col("doc").alias("x"), "y")
-        fresh = cut(_ordered(pairs).join(tested, ["a", "b"], "left_anti"))
-        if turn < STAR_ROUNDS and fresh.isEmpty():
-            continue
-        found = cut(_verified(fresh, signs, sets, percent))
-        tested, links = tested.unionByName(fresh), links.unionByName(found)
-        roots = components(roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
+    tested = docs.sparkSession.createDataFrame([], "a long, b long")
+    roots = components(tested)
+
+    def grown(found: DataFrame) -> DataFrame:
+        return components(roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
+
+    # few bands tie a large group together before all bands are looked at
+    for some_bands in (members.filter(F.col("band") < FIRST_BANDS), members):
+        apart = _apart(some_bands, roots)
+        ends = F.explode(F.array("low", "high"))
+        pairs = apart.select("doc", "root", ends.alias("end")).filter("root <> end.root").select(F.col("doc").alias("x"), F.col("end.doc").alias("y"))
+        fresh = staged(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.unionByName(fresh)
+        roots = grown(staged(_verified(fresh, signs, sets, percent), "links"))
+    apart = staged(_apart(members, roots).select("key", "doc", "root", F.col("low.doc").alias("low"), "size"), "apart")
+    other = apart.select("key", F.col("doc").alias("y"), F.col("root").alias("other"))
+    pairs = apart.filter(F.col("size") <= SMALL_BUCKET).join(other, "key").filter("root < other").select(F.col("doc").alias("x"), "y")
+    found = _verified(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), signs, sets, percent)
+    blocks = _by_blocks(apart.filter(F.col("size") > SMALL_BUCKET), roots, signs, sets, percent)
+    roots = grown(staged(found.unionByName(blocks), "links"))
     named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component"))
     lone = sketch.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     grouped = some.select("doc_id", "n", "fp").join(named, "fp").select("doc_id", "n", "component")

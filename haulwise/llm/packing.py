@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import scratch_path
+from .store import staged
 from .text import slices
 
 SEQUENCE = 2048
@@ -292,9 +292,7 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     ``pieces`` is written once, so that the numbers of a task cannot change.
     """
     spark = pieces.sparkSession
-    path = scratch_path(spark, "pieces")
-    pieces.write.parquet(path)
-    pieces = spark.read.parquet(path)
+    pieces = staged(pieces, "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
