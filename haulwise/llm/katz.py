@@ -304,7 +304,8 @@ def _questions(docs: DataFrame, model: Model) -> DataFrame:
     """Per chunk of texts and bucket the pairs to look up, in text order; one row per chunk holds ids and lengths."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        for batch in slices(batches, budget=CHUNK_BYTES):
+        # larger chunks name each word less often; Arrow hands over at most 10,000 rows by default, far from 65,536
+        for batch in slices((b.slice(i, 1 << 16) for b in batches for i in range(0, b.num_rows, 1 << 16)), budget=2 * CHUNK_BYTES):
             t = Tokens(batch.column("text"))
             n, at = batch.num_rows, _place(t.token, join2(t.history, t.token), model.hot, model.buckets)
             order = np.argsort(at, kind="stable")
@@ -347,13 +348,14 @@ def _answers(model: Model):
             place, hot = _lookup(model.hot & _HIGH, h)
             value += np.where(~seen & hot, model.hot_weights[place], 0)
             base = np.log10((count + 1) / (model.tokens + model.kinds + 1))[spot]
-            sums = [np.bincount(text, weights=v, minlength=len(lengths)).tobytes() for v in (value, base, (count > 0)[spot])]
+            sums = [np.bincount(text, weights=v, minlength=len(lengths)) for v in (value, base, (count > 0)[spot])]
+            sums = [sums[0].tobytes(), sums[1].tobytes(), sums[2].astype("<u4").tobytes()]
             out.append((-1, row["chunk"], None, None, *sums, None, None))
             rest = np.flatnonzero(~seen & ~hot)
             part = home(h[rest], model.buckets)
             rest, part = rest[np.argsort(part, kind="stable")], np.sort(part)
             for x, y in zip(_runs(part), [*_runs(part)[1:], len(part)]):
-                out.append((int(part[x]), row["chunk"], None, None, None, None, None, _short(h[rest[x:y]]), text[rest[x:y]].astype("<u4").tobytes()))
+                out.append((int(part[x]), row["chunk"], None, None, None, None, None, _short(h[rest[x:y]]), text[rest[x:y]].astype("<u2").tobytes()))
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 7)
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)],
                                     ["part", "chunk", "ids", "counts", "score", "base", "known", "h", "text"])
@@ -364,12 +366,17 @@ def _backed(asked: pa.Table, table: pa.Table) -> pa.Table:
     """Back-off weights of the unseen pairs, summed per chunk and text."""
     row = table.to_pylist()[0] if table.num_rows else {"h": b"", "weight": b""}
     key, weight = _long(row["h"]), np.frombuffer(row["weight"], "<f8")
-    out = []
+    rows: dict[int, list] = {}
     for chunk, h, text in zip(*(asked.column(c).to_pylist() for c in ("chunk", "h", "text"))):
-        at, found = _lookup(key, _long(h))
-        which = np.frombuffer(text, "<u4")[found]
+        rows.setdefault(chunk, []).append((h, text))
+    out = []
+    for chunk, got in rows.items():
+        at, found = _lookup(key, _long(b"".join(h for h, _ in got)))
+        which = np.frombuffer(b"".join(t for _, t in got), "<u2")[found]
         if len(which):
-            out.append((chunk, which.tobytes(), weight[at[found]].tobytes()))
+            # one sum per text
+            text, spot = np.unique(which, return_inverse=True)
+            out.append((chunk, text.tobytes(), np.bincount(spot, weights=weight[at[found]]).tobytes()))
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))], ["chunk", "text", "score"])
 
 
@@ -378,15 +385,16 @@ def _summed(model: Model):
         rows = table.to_pylist()
         head = next(r for r in rows if r["ids"] is not None)
         ids, counts = np.frombuffer(head["ids"], "<i8"), np.frombuffer(head["counts"], "<u4").astype(np.int64)
-        score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))
+        score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
         for r in rows:
             if r["base"] is not None:
-                score, base, known = (s + np.frombuffer(r[c], "<f8") for s, c in ((score, "score"), (base, "base"), (known, "known")))
+                score, base = (s + np.frombuffer(r[c], "<f8") for s, c in ((score, "score"), (base, "base")))
+                known = known + np.frombuffer(r["known"], "<u4")
             elif r["text"] is not None:
-                np.add.at(score, np.frombuffer(r["text"], "<u4"), np.frombuffer(r["score"], "<f8"))
+                np.add.at(score, np.frombuffer(r["text"], "<u2"), np.frombuffer(r["score"], "<f8"))
         # the first token's history is the start, seen once per training text
         score = score - (np.log10(model.texts) if model.texts else 0)
-        return pa.table({"row": pa.array(ids), "n_tokens": pa.array(counts), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+        return pa.table({"row": pa.array(ids), "n_tokens": pa.array(counts), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
     return work
 
 

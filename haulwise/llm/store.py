@@ -16,7 +16,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path, before = scratch_path(spark, name), spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
