@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .store import staged
 from .text import slices
 
 MIN_COSINE = 0.7
@@ -121,7 +122,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least:
     own = (files.select("key", "path", F.coalesce(name.rlike(_LICENCE_FILE), F.lit(False)).alias("whole"), "text")
            .mapInArrow(work, f"key {kind}, path string, whole boolean, own_license string, own_score double")
            .withColumn("dir", directory(F.col("path"))))
-    return inherit(own)
+    return inherit(staged(own, "scanned"))
 
 
 def inherit(own: DataFrame) -> DataFrame:
