@@ -37,6 +37,8 @@ from .text import Words, join2, mix, slices
 CHUNK_BYTES = 4 << 20
 HOT_PARTS = 16
 TURING = 5
+# The line is fitted to counts up to this one; larger counts follow it.
+FITTED = 1000
 _U = np.uint64
 START, END = _U(0x5BD1E99500010000), _U(0x27D4EB2F00020000)
 _HIGH = _U(0xFFFFFFFFFFFF0000)
@@ -231,7 +233,7 @@ def _totals(counts: DataFrame, hot: np.ndarray) -> list:
                 word, n, c = np.frombuffer(row["word"], "<u8"), np.frombuffer(row["n"], "<i8"), np.frombuffer(row["pc"], "<u4")
                 out = [(0, 0, int(n.sum())), (0, 1, len(n))]
                 for kind, x in ((1, n), (2, c)):
-                    r, times = np.unique(x[x <= 1000], return_counts=True)
+                    r, times = np.unique(x[x <= FITTED], return_counts=True)
                     out += [(kind, int(a), int(b)) for a, b in zip(r, times)]
                 at, found = _lookup(word, hot)
                 out += [(3, int(w), int(n[i])) for w, i in zip(hot[found].view(np.int64), at[found])]
