@@ -26,7 +26,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = sys.argv[1:]
     spark = build_session("bench", f"local[{cpus}]", **{
-        "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": cpus, "spark.haulwise.spread": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.log.level": "ERROR"})
     runs, queries = {}, all_queries()
     names = HEADLINE if not only else (list(queries) if only == ["all"] else only)

@@ -69,9 +69,9 @@ def dsql(sql: str) -> str:
 
 
 def owners(spark):
-    return spark.createDataFrame([
+    return F.broadcast(spark.createDataFrame([
         ("supplier", "email", "procurement"), ("supplier", "slack", "buyers"), ("product", "email", "planning"),
-        ("order", "slack", "sales"), ("shipment", "slack", "logistics")], "entity_type string, channel string, recipient string")
+        ("order", "slack", "sales"), ("shipment", "slack", "logistics")], "entity_type string, channel string, recipient string"))
 
 
 def breaches(m):

@@ -21,7 +21,8 @@ DEFAULT_THRESHOLDS = [
 
 
 def thresholds(spark: SparkSession, rows: Sequence[tuple] = DEFAULT_THRESHOLDS) -> DataFrame:
-    return spark.createDataFrame(rows, "threshold_id int, entity_type string, metric string, threshold_value double")
+    """Thresholds from a list that the driver holds; marked, so that every join sends them to the scores."""
+    return F.broadcast(spark.createDataFrame(rows, "threshold_id int, entity_type string, metric string, threshold_value double"))
 
 
 def metric_rows(scores: DataFrame) -> DataFrame:

@@ -216,5 +216,6 @@ def edge_features(edges: DataFrame, as_of: Column) -> DataFrame:
                     F.try_divide(F.col("quantity"), F.nullif("threshold", F.lit(0.0))))
              .when(F.col("edge_type") == "SHIPS_TO", F.datediff("due", as_of).cast("double"))
              .otherwise(scaled))
-    return edges.join(lo_hi, "edge_type").select(
+    # one row per edge type of the model; edges stay where they are
+    return edges.join(F.broadcast(lo_hi), "edge_type").select(
         "edge_type", "src", "dst", fx.r6(F.coalesce(value, F.lit(0.0))).alias("edge_feature"))

@@ -20,6 +20,10 @@ RUNTIME_CONF = {
 }
 
 
+# A setting of the job: tasks to deal documents out to before they are cut into chunks.
+SPREAD = "spark.haulwise.spread"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
     for key, value in RUNTIME_CONF.items():
@@ -70,12 +74,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for heavy row work on a small input.
+    """Deal rows out for heavy row work, to as many tasks as the job asks for in ``SPREAD``.
 
-    A small file is one scan task whatever the cluster; an input large enough to
-    fill the cores by itself is returned as it is, without a shuffle.
+    Useful where a whole input is one small file and so one scan task; unset, the
+    input stays as it is, without a shuffle.
     """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if size < cores * 128 * 1024 * 1024 else df
+    parts = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(parts)) if parts else df
