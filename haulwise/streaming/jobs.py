@@ -117,35 +117,40 @@ def current_rows(spark: SparkSession, path: str, keys: list[str], version: str)
     return latest_per_key(rows, keys, [F.col(version).desc(), F.col(BATCH).desc()]).drop(BATCH)
 
 
+def _with_history(batch: DataFrame, keys: list[str], path: str, batch_id: int) -> DataFrame:
+    """The batch and all earlier rows of the keys that it touches.
+
+    Only the batch itself and its keys are stored, so writing follows the change.
+    """
+    _put(batch, f"{path}/rows", batch_id)
+    _put(batch.select(*keys).distinct(), f"{path}/touched", batch_id)
+    stored = read_output(batch.sparkSession, f"{path}/rows").filter(F.col(BATCH) <= batch_id)
+    touched = batch.sparkSession.read.parquet(f"{path}/touched/{BATCH}={batch_id}")
+    return stored.drop(BATCH).join(touched, keys, "left_semi")
+
+
+def current_result(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Results as of now: those of the newest batch that touched their key, which correct all earlier ones."""
+    newest = read_output(spark, f"{path}/touched").groupBy(*keys).agg(F.max(BATCH).alias(BATCH))
+    return read_output(spark, f"{path}/out").join(newest, [*keys, BATCH]).drop(BATCH)
+
+
 def stateful_crossings(scores: DataFrame, thr: DataFrame, path: str, checkpoint: str) -> None:
-    """Upward crossings; the last score per entity is carried from batch to batch."""
-    out, state = f"{path}/out", f"{path}/state"
+    """Upward crossings of the entities that a batch touches, from their whole history; read with ``current_result``.
 
+    A late score can make a later one no crossing, or one at all, so the entity's
+    crossings are found anew and replace the earlier ones.
+    """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        last = _before(spark, state, batch_id)
-        rows = batch if last is None else batch.unionByName(last)
-        hits = al.threshold_crossings(rows, thr)
-        if last is not None:
-            hits = hits.join(last.select("score_id"), "score_id", "left_anti")
-        _put(hits, out, batch_id)
-        newest = latest_per_key(rows, ["entity_type", "entity_id"], [F.col("scored_at").desc(), F.col("score_id").desc()])
-        _put(newest, state, batch_id)
+        rows = _with_history(batch, ["entity_type", "entity_id"], path, batch_id)
+        _put(al.threshold_crossings(rows, thr), f"{path}/out", batch_id)
     run_batches(scores, handle, checkpoint)
 
 
 def stream_lockouts(audit: DataFrame, n: int, path: str, checkpoint: str) -> None:
-    """Lockouts; the length of the running failure streak is carried per actor."""
-    out, state = f"{path}/out", f"{path}/state"
-
+    """Lockouts of the actors that a batch touches, from their whole history; read with ``current_result``."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        last = _before(batch.sparkSession, state, batch_id)
-        runs = al.failure_runs(batch, last)
-        _put(al.locked(runs, n), out, batch_id)
-        ends = runs.groupBy("actor_id").agg(F.max_by("run_length", F.struct("created_at", "audit_id")).alias("carried"))
-        if last is not None:
-            ends = ends.unionByName(last.join(ends.select("actor_id"), "actor_id", "left_anti"))
-        _put(ends, state, batch_id)
+        _put(al.lockouts(_with_history(batch, ["actor_id"], path, batch_id), n), f"{path}/out", batch_id)
     run_batches(audit, handle, checkpoint)
 
 
