@@ -326,7 +326,7 @@ def _questions(docs: DataFrame, model: Model) -> DataFrame:
 
 def _answers(model: Model):
     def work(asked: pa.Table, table: pa.Table) -> pa.Table:
-        out = []
+        out, unseen = [], []
         empty = {c: b"" for c in ("word", "n", "pw", "pn", "ph", "pc")}
         b = Bucket(table.to_pylist()[0] if table.num_rows else empty, model)
         key = join2(b.ph, b.pw)
@@ -354,10 +354,17 @@ def _answers(model: Model):
             sums = [sums[0].tobytes(), sums[1].tobytes(), sums[2].astype("<u4").tobytes()]
             out.append((-1, row["chunk"], None, None, *sums, None, None))
             rest = np.flatnonzero(~seen & ~hot)
-            part = home(h[rest], model.buckets)
-            rest, part = rest[np.argsort(part, kind="stable")], np.sort(part)
-            for x, y in zip(_runs(part), [*_runs(part)[1:], len(part)]):
-                out.append((int(part[x]), row["chunk"], None, None, None, None, None, _short(h[rest[x:y]]), text[rest[x:y]].astype("<u2").tobytes()))
+            unseen.append((h[rest], text[rest].astype("<u2"), np.full(len(rest), row["chunk"], "<i8")))
+        # one row per part for all chunks: histories and texts, and the chunks with their numbers of these
+        h, text, chunk = (np.concatenate(x) for x in zip(*unseen)) if unseen else (np.zeros(0, np.uint64),) * 3
+        part = home(h, model.buckets)
+        order = np.argsort(part, kind="stable")
+        cuts = [*_runs(part[order]), len(part)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            pick = order[x:y]
+            runs = _runs(chunk[pick])
+            out.append((int(part[pick[0]]), None, chunk[pick][runs].tobytes(), np.diff(np.append(runs, y - x)).astype("<u4").tobytes(),
+                        None, None, None, _short(h[pick]), text[pick].tobytes()))
         kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 7)
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 9, kinds)],
                                     ["part", "chunk", "ids", "counts", "score", "base", "known", "h", "text"])
@@ -368,17 +375,17 @@ def _backed(asked: pa.Table, table: pa.Table) -> pa.Table:
     """Back-off weights of the unseen pairs, summed per chunk and text."""
     row = table.to_pylist()[0] if table.num_rows else {"h": b"", "weight": b""}
     key, weight = _long(row["h"]), np.frombuffer(row["weight"], "<f8")
-    rows: dict[int, list] = {}
-    for chunk, h, text in zip(*(asked.column(c).to_pylist() for c in ("chunk", "h", "text"))):
-        rows.setdefault(chunk, []).append((h, text))
-    out = []
-    for chunk, got in rows.items():
-        at, found = _lookup(key, _long(b"".join(h for h, _ in got)))
-        which = np.frombuffer(b"".join(t for _, t in got), "<u2")[found]
-        if len(which):
-            # one sum per text
-            text, spot = np.unique(which, return_inverse=True)
-            out.append((chunk, text.tobytes(), np.bincount(spot, weights=weight[at[found]]).tobytes()))
+    chunk = np.repeat(_all(asked, "ids", "<i8"), _all(asked, "counts", "<u4"))
+    at, found = _lookup(key, _long(b"".join(asked.column("h").to_pylist())))
+    chunk, text, value = chunk[found], _all(asked, "text", "<u2")[found], weight[at[found]]
+    order = np.lexsort((text, chunk))
+    chunk, text, value = chunk[order], text[order], value[order]
+    # one sum per chunk and text
+    first = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (text[1:] != text[:-1])])) if len(chunk) else np.zeros(0, np.int64)
+    value = np.add.reduceat(value, first) if len(first) else value
+    chunk, text = chunk[first], text[first]
+    cuts = [*_runs(chunk), len(chunk)]
+    out = [(int(chunk[x]), text[x:y].tobytes(), value[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:])]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()))], ["chunk", "text", "score"])
 
 
@@ -403,7 +410,7 @@ def _summed(model: Model):
 def score(docs: DataFrame, model: Model, counts: DataFrame, weights: DataFrame) -> DataFrame:
     """Per row of ``docs`` (row: an integer to carry along, text): n_tokens, n_known, base_score and score."""
     answers = staged(_questions(docs, model).groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(_answers(model), _BACK), "answers")
-    backed = (answers.filter("part >= 0").select("part", "chunk", "h", "text").groupBy("part")
+    backed = (answers.filter("part >= 0").select("part", "ids", "counts", "h", "text").groupBy("part")
               .cogroup(weights.groupBy("part")).applyInArrow(_backed, "chunk long, text binary, score binary"))
     parts = answers.filter("part = -1").select("chunk", "ids", "counts", "score", "base", "known").unionByName(backed, allowMissingColumns=True)
     return parts.groupBy("chunk").applyInArrow(_summed(model), "row long, n_tokens long, n_known long, base_score double, score double")
