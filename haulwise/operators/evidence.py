@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -96,73 +94,28 @@ def vector_search(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     return hits.select("query_id", F.col("item_id").alias("chunk_id"), "similarity", F.col("rank").alias("vector_rank"))
 
 
-# A query set whose (terms x queries) matrix has at most this many cells is shipped to the tasks.
-QUERY_CELLS = 8_000_000
-QUERY_ROWS = 500_000
-BATCH_CELLS = 8_000_000
+def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 top-n chunks per query, by joining postings.
 
-
-def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.2, b: float = 0.75,
-                   query_cells: int = QUERY_CELLS) -> DataFrame:
-    """BM25 top-n chunks per query.
-
-    A query set of checked size goes to the tasks as one matrix, and each batch of
-    chunks returns only its n best per query. A larger set is matched by joining
-    postings; both ways give the same result.
+    Document frequencies are counted per distinct term, so only totals are shuffled. The
+    postings of a chunk are grouped by (term, chunk) and join the weighted query terms by
+    term; one hot term is a skewed join, which AQE splits. Scores are summed per (query, chunk).
     """
     q = queries.select("query_id", F.explode(F.array_distinct(fx.terms(F.col("text")))).alias("term"))
     indexed = F.col("terms") if "terms" in chunks.columns else fx.terms(F.col("chunk_text"))
     words = chunks.select("chunk_id", indexed.alias("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    s = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).select(F.struct("n", "avgdl")).scalar()
+    asked = q.select("term").distinct()
     # a term counts once per chunk, so nothing but the totals is shuffled
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).join(
-        q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    n_rows, n_terms, n_queries = q.agg(F.count("*"), F.count_distinct("term"), F.count_distinct("query_id")).first()
-    small = n_rows <= QUERY_ROWS and n_terms * n_queries <= query_cells
-    hits = (_bm25_matrix(q, words, stats, df, n, k1, b) if small else _bm25_join(q, words, stats, df, k1, b))
-    return top_per_key(hits, ["query_id"], [F.col("bm25").desc(), F.col("chunk_id")], n, rank="keyword_rank")
-
-
-def _bm25_join(q: DataFrame, words: DataFrame, stats: DataFrame, df: DataFrame, k1: float, b: float) -> DataFrame:
-    s = stats.select(F.struct("n", "avgdl").alias("s")).scalar()
-    postings = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(
-        q.select("term").distinct(), "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(
+        F.count("*").alias("df"))
     idf = F.ln(1 + (s["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asks = q.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    postings = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(
+        asked, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / s["avgdl"]))
-    return postings.join(q.join(df, "term").withColumn("idf", idf), "term").groupBy("query_id", "chunk_id").agg(
-        fx.r6(F.sum(weight)).alias("bm25"))
-
-
-def _bm25_matrix(q: DataFrame, words: DataFrame, stats: DataFrame, df: DataFrame, n: int, k1: float, b: float) -> DataFrame:
-    # bounded by the check of the query set
-    pairs = q.join(df, "term").toPandas()
-    total, avgdl = stats.first()
-    vocab = pd.Index(sorted(pairs["term"].unique()))
-    ids = np.array(sorted(pairs["query_id"].unique()), dtype="int64")
-    freq = pairs.drop_duplicates("term").set_index("term")["df"].reindex(vocab).to_numpy(dtype="float64")
-    idf = np.log(1 + (total - freq + 0.5) / (freq + 0.5))
-    asks = np.zeros((len(vocab), len(ids)))
-    asks[vocab.get_indexer(pairs["term"]), np.searchsorted(ids, pairs["query_id"])] = 1.0
-    asks *= idf[:, None]
-    step = max(1, BATCH_CELLS // max(1, len(vocab) + len(ids)))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), step):
-                part = pdf.iloc[at:at + step].sort_values("chunk_id")
-                length = part["w"].str.len().to_numpy()
-                row = np.repeat(np.arange(len(part)), length)
-                col = vocab.get_indexer(np.concatenate(part["w"].to_numpy())) if length.sum() else np.array([], dtype=int)
-                tf = np.zeros((len(part), len(vocab)))
-                np.add.at(tf, (row[col >= 0], col[col >= 0]), 1.0)
-                tf = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avgdl)[:, None])
-                score = np.round(tf @ asks, 6)
-                order = np.argsort(-score, axis=0, kind="stable")[:n]
-                out = pd.DataFrame({"query_id": np.tile(ids, len(order)), "chunk_id": part["chunk_id"].to_numpy()[order.ravel()],
-                                    "bm25": np.take_along_axis(score, order, axis=0).ravel()})
-                yield out[out["bm25"] > 0]
-
-    return words.mapInPandas(best, "query_id bigint, chunk_id bigint, bm25 double")
+    hits = postings.join(asks, "term").groupBy("query_id", "chunk_id").agg(fx.r6(F.sum(weight)).alias("bm25"))
+    return top_per_key(hits, ["query_id"], [F.col("bm25").desc(), F.col("chunk_id")], n, rank="keyword_rank")
 
 
 def rrf(vector_hits: DataFrame, keyword_hits: DataFrame, c: int = 60) -> DataFrame:
