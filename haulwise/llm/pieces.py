@@ -2,8 +2,9 @@
 
 A text is normalised here: the longest prefix that the model's compiled character map
 knows is replaced, everything else is copied, and every normalised character records
-the bytes of the text that it came from. The pieces of the normalised text are then
-projected to byte spans of the original. Segmentation uses the library on the already
+the bytes of the text that it came from; user-defined symbols are copied as they are.
+The pieces of the normalised text are then projected to byte spans of the original, for
+every document: the rows of ``round_trip`` are digests of those ids and spans. Segmentation uses the library on the already
 normalised text, with a copy of the model whose own normaliser is switched off; the
 vocabulary has no piece with a space mark after another character, so the normalised
 text is segmented unit by unit (space marks and what follows them) and units are
@@ -100,43 +101,62 @@ class CharMap:
 class Normaliser:
     """Normalised text and, per normalised character, where its source begins (one more entry: the end)."""
 
-    def __init__(self, spec: bytes) -> None:
+    def __init__(self, spec: bytes, symbols: list[bytes] = ()) -> None:
         got = {number: value for number, value, _ in _fields(spec)}
         self.map = CharMap(got.get(2, b""))
+        # runs of bytes at which neither a known prefix nor a symbol can begin are copied
+        self.symbols = sorted(symbols, key=len, reverse=True)
+        starts = self.map.starts | {s[0] for s in self.symbols}
+        self.special = re.compile(b"[" + b"".join(b"\\x%02x" % c for c in sorted(starts)) + b"]") if starts else None
         self.dummy, self.trim, self.escape = bool(got.get(3, 1)), bool(got.get(4, 1)), bool(got.get(5, 1))
 
-    @property
-    def copies(self) -> bool:
-        """Nothing but spaces changes, one for one."""
-        return not self.map.units and not self.trim
-
-    def __call__(self, text: str) -> tuple[str, list[int]]:
+    def _prefix(self, data: bytes, at: int) -> tuple[int, bytes]:
+        """Length of what is replaced at ``at``, and its replacement: a symbol, a known prefix, or one character."""
+        for symbol in self.symbols:
+            if data.startswith(symbol, at):
+                return len(symbol), symbol
+        size, new = self.map.longest(data, at) if data[at] in self.map.starts else (0, None)
+        if new is None:
+            size = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+            new = data[at:at + size]
+        return size, new
+
+    def __call__(self, text: str) -> tuple[str, np.ndarray]:
         data = text.encode()
-        parts: list[tuple[str, int, int]] = []
+        parts, begins, ends = [], [], []
         at = 0
         while at < len(data):
-            size, new = self.map.longest(data, at) if data[at] in self.map.starts else (0, None)
-            if new is None:
-                size = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-                new = data[at:at + size]
-            parts += [(c, at, at + size) for c in new.decode()]
-            at += size
-        if self.trim:
-            kept = [p for i, p in enumerate(parts) if p[0] != " " or i and parts[i - 1][0] != " "]
-            while kept and kept[0][0] == " ":
-                kept.pop(0)
-            while kept and kept[-1][0] == " ":
-                kept.pop()
-            parts = kept
-        if not parts:
-            return "", [len(data)]
+            found = self.special.search(data, at) if self.special else None
+            stop = found.start() if found else len(data)
+            if stop > at:
+                begin = at + np.flatnonzero(np.frombuffer(data[at:stop], np.uint8) & 0xC0 != 0x80)
+                parts.append(data[at:stop].decode())
+                begins.append(begin)
+                ends.append(np.append(begin[1:], stop))
+                at = stop
+            if at < len(data):
+                size, new = self._prefix(data, at)
+                parts.append(new.decode())
+                begins.append(np.full(len(parts[-1]), at))
+                ends.append(np.full(len(parts[-1]), at + size))
+                at += size
+        out = "".join(parts)
+        begin, end = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (begins, ends))
+        if self.trim and out:
+            points = np.frombuffer(out.encode("utf-32-le"), np.uint32)
+            solid = points != 32
+            keep = solid.copy()
+            keep[1:] |= solid[:-1]  # one space after each run of other characters, but the last
+            keep[len(solid) - int(np.argmax(solid[::-1])) if solid.any() else 0:] = False
+            out = points[keep].tobytes().decode("utf-32-le")
+            begin, end = begin[keep], end[keep]
+        if not out:
+            return "", np.array([len(data)], np.int64)
         mark = MARK if self.escape else " "
-        out = [mark if c == " " else c for c, _, _ in parts]
-        where = [a for _, a, _ in parts]
+        out = out.replace(" ", mark)
         if self.dummy:
-            out.insert(0, mark)
-            where.insert(0, where[0])
-        return "".join(out), [*where, parts[-1][2]]
+            return mark + out, np.concatenate([begin[:1], begin, end[-1:]])
+        return out, np.concatenate([begin, end[-1:]])
 
 
 class Codec:
@@ -146,15 +166,16 @@ class Codec:
         import sentencepiece
         with open(model, "rb") as f:
             raw = f.read()
-        spec, rest, symbols = b"", [], 0
+        spec, rest, symbols = b"", [], []
         for number, value, whole in _fields(raw):
             if number == 3:
                 spec = value
             else:
                 rest.append(whole)
             if number == 1:
-                symbols += dict((n, v) for n, v, _ in _fields(value)).get(3, 1) == 4
-        self.normalise = Normaliser(spec)
+                piece = {n: v for n, v, _ in _fields(value)}
+                symbols += [piece[1]] if piece.get(3, 1) == 4 else []
+        self.normalise = Normaliser(spec, symbols)
         off = b"\x0a\x08identity" + b"\x18\x00\x20\x00\x28\x00"
         self.inner = sentencepiece.SentencePieceProcessor(model_proto=b"".join(rest) + b"\x1a" + _put_varint(len(off)) + off)
         self.outer = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -169,7 +190,10 @@ class Codec:
         self.falls_back = sum(self.is_byte) == 256
         self.bytes = np.array([1 if b else len(p.encode()) for p, b in zip(pieces, self.is_byte)], np.int64)
         self.known: dict[str, list[int]] = {}
-        self.symbols = bool(symbols)
+        lead = [b and not 0x80 <= int(p[3:5], 16) < 0xC0 for p, b in zip(pieces, self.is_byte)]
+        # characters that a piece moves on by and that it spans; all bytes of one character share its source
+        self.moves = np.array([n if not b else int(x) for n, b, x in zip(self.width, self.is_byte, lead)], np.int64)
+        self.covers = np.array([1 if b else n for n, b in zip(self.width, self.is_byte)], np.int64)
 
     def ids(self, normal: str) -> list[int]:
         """Ids of a normalised text, without the end mark."""
@@ -201,40 +225,25 @@ class Codec:
                 at = stop
 
     def encode(self, text: str | None) -> list[int]:
-        text = text or ""
-        if self.symbols:
-            return [*self.outer.encode(text), self.end]
-        if self.normalise.copies:
-            if not text:
-                return [self.end]
-            mark = MARK if self.normalise.escape else " "
-            return [*self.ids((mark if self.normalise.dummy else "") + text.replace(" ", mark)), self.end]
-        return [*self.ids(self.normalise(text)[0]), self.end]
-
-    def spans(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
+        return [*self.ids(self.normalise(text or "")[0]), self.end]
+
+    def spans(self, text: str | None) -> tuple[list[int], np.ndarray, np.ndarray]:
         """Ids with the begin and end byte of each piece in the original text; the end mark is empty, at the end."""
-        text = text or ""
-        normal, where = self.normalise(text)
-        ids, begins, ends = self.ids(normal), [], []
-        at, pending = 0, 0
-        for i in ids:
-            if self.is_byte[i]:
-                # all bytes of one character share its source
-                pending = pending or len(normal[at].encode())
-                begins.append(where[at])
-                ends.append(where[at + 1])
-                pending -= 1
-                at += not pending
-                continue
-            width = self.width[i]
-            if i == self.outer.unk_id():
-                width = 1
-                while at + width < len(normal) and self._unknown(normal[at + width]):
-                    width += 1
-            begins.append(where[at])
-            ends.append(where[at + width])
-            at += width
-        return [*ids, self.end], [*begins, where[-1]], [*ends, where[-1]]
+        normal, where = self.normalise(text or "")
+        found = self.ids(normal)
+        ids = np.array(found, np.int64)
+        moves, covers = self.moves[ids], self.covers[ids]
+        if not self.falls_back and (ids == self.outer.unk_id()).any():
+            at = 0
+            for k in range(len(ids)):
+                if ids[k] == self.outer.unk_id():
+                    width = 1
+                    while at + width < len(normal) and self._unknown(normal[at + width]):
+                        width += 1
+                    moves[k] = covers[k] = width
+                at += int(moves[k])
+        to = np.cumsum(moves)
+        return [*found, self.end], np.append(where[to - covers], where[-1]), np.append(where[to], where[-1])
 
     def _unknown(self, char: str) -> bool:
         return self.outer.piece_to_id(char) == self.outer.unk_id()
@@ -244,7 +253,7 @@ class Codec:
 
 
 SPANS = "ids array<int>, begins array<long>, ends array<long>"
-DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 
 
 def encode_spans(docs: DataFrame, model: str) -> DataFrame:
@@ -253,26 +262,30 @@ def encode_spans(docs: DataFrame, model: str) -> DataFrame:
         codec = Codec(model)
         for batch in slices(batches, budget=1 << 20):
             got = [codec.spans(t) for t in batch.column("text").to_pylist()]
-            kinds = (pa.int32(), pa.int64(), pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array([g[i] for g in got], pa.list_(k)) for i, k in enumerate(kinds))],
-                                  ["doc_id", "ids", "begins", "ends"])
+            offsets = pa.array(np.cumsum([0, *(len(g[0]) for g in got)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c), k)) for c, k in zip(zip(*got), (pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.record_batch([batch.column("doc_id"), *lists], ["doc_id", "ids", "begins", "ends"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {SPANS}")
 
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, number of ids, and digests of the ids and of the text decoded from them."""
+    """Per row of ``docs`` (doc_id, text): doc_id, number of ids, and digests of the ids, of the text decoded from them and of their spans.
+
+    The digest of the spans is over ``begin:end`` of all pieces in order, joined by blanks.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in slices(batches):
-            n, of_ids, of_text = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = codec.encode(text)
+        for batch in batches:
+            n, of_ids, of_text, of_spans = [], [], [], []
+            for i in range(batch.num_rows):
+                ids, begins, ends = (batch.column(c)[i].values.to_pylist() for c in ("ids", "begins", "ends"))
                 n.append(len(ids))
                 of_ids.append(sha(" ".join(map(codec.text_id.__getitem__, ids))))
                 of_text.append(sha(codec.decode(ids)))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
-                                  ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                of_spans.append(sha(" ".join(map("%d:%d".__mod__, zip(begins, ends)))))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(c, pa.string()) for c in (of_ids, of_text, of_spans))],
+                                  ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {DIGEST}")
+    return encode_spans(docs, model).mapInArrow(work, f"doc_id {kind}, {DIGEST}")

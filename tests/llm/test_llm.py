@@ -228,6 +228,39 @@ def test_sentence_pieces(spark, folder, texts):
         assert whole == [(b, e) for i, b, e in zip(ids, begins, ends) if not library.is_byte(i)][:-1]
 
 
+def test_sentence_pieces_query_holds_spans(spark, folder, texts):
+    """The rows of the query come from the spans of the library, byte pieces of one character sharing its source."""
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in catalog.sentence_pieces(spark, folder).limit(60).collect():
+        text, spans = texts[r.doc_id], []
+        size = len(text.encode())
+        for p in library.encode(text, return_type="proto").pieces:
+            spans.append([p.begin, p.end])
+        bytes_of = [library.is_byte(p.id) for p in library.encode(text, return_type="proto").pieces]
+        for i in range(len(spans)):  # the library gives a whole character to the last of its byte pieces
+            if bytes_of[i] and spans[i][0] == spans[i][1]:
+                j = next(j for j in range(i, len(spans)) if spans[j][1] > spans[j][0])
+                spans[i] = spans[j]
+        spans.append([size, size])
+        assert r.spans_sha256 == hashlib.sha256(" ".join(f"{b}:{e}" for b, e in spans).encode()).hexdigest()
+
+
+def test_spans_with_symbols(tmp_path, spark):
+    import sentencepiece
+    sentencepiece.SentencePieceTrainer.train(
+        sentence_iterator=iter(["the quick brown fox ﬁ jumps over <x> the lazy dog"] * 20), model_prefix=str(tmp_path / "m"), vocab_size=320,
+        model_type="bpe", byte_fallback=True, user_defined_symbols=["<x>", "ﬁ"], normalization_rule_name="nmt_nfkc", hard_vocab_limit=False, minloglevel=2)
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m.model")), pieces.Codec(str(tmp_path / "m.model"))
+    for text in ("the ﬁ<x>fox  ① ", "<x>", " ﬁ dog Å", ""):
+        ids, begins, ends = codec.spans(text)
+        assert ids == codec.encode(text) == [*library.encode(text), library.eos_id()]
+        whole = [(p.begin, p.end) for p in library.encode(text, return_type="proto").pieces if not library.is_byte(p.id)]
+        assert whole == [(b, e) for i, b, e in zip(ids, begins, ends) if not library.is_byte(i)][:-1]
+    frame = spark.createDataFrame([(1, "the ﬁ<x>fox  ① ")], "doc_id long, text string")
+    assert pieces.round_trip(frame, str(tmp_path / "m.model")).first().n_tokens == len(codec.encode("the ﬁ<x>fox  ① "))
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
 def test_character_map(rule):
     import sentencepiece
