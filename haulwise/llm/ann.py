@@ -12,7 +12,7 @@ every vector is indexed and no task holds more than a block and a group of queri
 
 Defined results: vectors that are null, zero, or hold null or non-finite components
 take no part, nor do rows with a null id; only vectors of equal length are compared;
-rows that share an id appear once, with the best score; of several query rows with one
+rows that share an id appear once, with the best score, and count once towards ``k``; of several query rows with one
 id the smallest vector asks; ties go to the smaller id.
 """
 
@@ -57,6 +57,8 @@ class Index:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, unit: np.ndarray) -> None:
         self.ids, self.v, self.unit = ids, v, unit
+        names, self.name = np.unique(ids, return_inverse=True)
+        self.repeats = len(names) < len(ids)
         self.norm = np.sqrt((v * v).sum(axis=1))
         self.axes = directions(v.shape[1])
         at = (unit @ self.axes.T).T
@@ -64,6 +66,13 @@ class Index:
         self.sorted = np.take_along_axis(at, order, 1)
         self.order = np.ascontiguousarray(order.astype(np.int32)).ravel()
 
+    def _distinct(self, rows: np.ndarray) -> int:
+        return len(np.unique(self.name[rows])) if self.repeats else len(rows)
+
+    def _first(self, rows: np.ndarray) -> np.ndarray:
+        """The first row of every id, in the order of ``rows``."""
+        return rows[np.sort(np.unique(self.name[rows], return_index=True)[1])] if self.repeats else rows
+
     def search(self, ids: np.ndarray, v: np.ndarray, unit: np.ndarray, k: int) -> tuple[list, list, list]:
         n, floor = len(self.ids), _threshold()
         spots = unit @ self.axes.T
@@ -85,7 +94,7 @@ class Index:
                 a, b = x, y
                 fresh = np.flatnonzero((hits >= floor) & (near < -1.5) & ~own)
                 near[fresh] = self.unit[fresh] @ unit[q]
-                if np.count_nonzero(near >= 1 - radius * radius / 2) >= k:
+                if self._distinct(np.flatnonzero(near >= 1 - radius * radius / 2)) >= k:
                     break
             else:
                 # the windows cover all vectors of the block
@@ -93,9 +102,14 @@ class Index:
                 near[rest] = self.unit[rest] @ unit[q]
             found = np.flatnonzero(near > -1.5)
             if len(found) > k:
-                found = found[near[found] >= np.partition(near[found], -k)[-k] - 1e-9]
+                heads = self._first(found[np.argsort(-near[found])]) if self.repeats else found
+                if len(heads) > k:
+                    found = found[near[found] >= np.partition(near[heads], -k)[-k] - 1e-9]
             score = (self.v[found] * v[q]).sum(axis=1) / (self.norm[found] * np.sqrt((v[q] * v[q]).sum()))
-            best = np.lexsort((self.ids[found], -score))[:k]
+            ranked = np.lexsort((self.ids[found], -score))
+            if self.repeats:
+                ranked = ranked[np.sort(np.unique(self.name[found][ranked], return_index=True)[1])]
+            best = ranked[:k]
             out[0].extend([ids[q]] * len(best))
             out[1].extend(self.ids[found][best])
             out[2].extend(score[best])
@@ -118,9 +132,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
         sizes[r.dim] = (sizes[r.dim][0], r.q)
     shapes = [(d, math.ceil(n / BLOCK), math.ceil(q / QUERY_BLOCK)) for d, (n, q) in sizes.items() if q]
     shape = vectors.sparkSession.createDataFrame(shapes, "dim int, blocks int, groups int")
-    # a row per vector length: few, and each is one number
-    rows = rows.withColumn("at", F.monotonically_increasing_id()).join(F.broadcast(shape), "dim")
-    rows = rows.select("id", "v", "dim", F.pmod("at", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+    # equal rows are one candidate; a row per vector length: few, and each is one number
+    rows = rows.distinct().join(F.broadcast(shape), "dim")
+    rows = rows.select("id", "v", "dim", F.pmod(F.xxhash64("id", "v"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
     asked = asked.join(F.broadcast(shape), "dim").select(
         "id", "v", "dim", F.pmod(F.xxhash64("id"), "groups").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 

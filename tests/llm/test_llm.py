@@ -297,6 +297,22 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_nearest_repeated_rows_take_one_place(spark):
+    """Six copies of the nearest row, and six vectors of one id, leave room for the other candidates."""
+    from pyspark.sql import functions as F
+    copies = [(1, [1.0, 0.001])] * 6
+    others = [(2, [1.0, 0.001 + i / 1e6]) for i in range(6)]
+    rest = [(i, [1.0, i / 10]) for i in range(3, 10)]
+    rows = [(0, [1.0, 0.0]), *copies, *others, *rest]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in got] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    v = np.array([x for _, x in rows])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.array([i for i, _ in rows])
+    assert ann.Index(ids, v, unit).search(ids[:1], v[:1], unit[:1], 5)[1] == [1, 2, 3, 4, 5]
+
+
 def test_license_scan(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/b/x.py", "code"), (3, "a/b/c/LICENSE", "nothing"), (4, "d/y.py", "z\nLicensed under the Apache License, Version 2.0.\nz"),
             (5, "top.py", None), (6, None, "Released under the MIT License."), (7, "a/b/c/w.py", ""), (7, "a/b/c/w.py", "")]
