@@ -1,9 +1,11 @@
 """License scans: headers and licence files against templates, then inheritance by directory.
 
-Lines of every whole file (and all of a file named as licence file) become sparse
-TF-IDF vectors and are compared with the templates by cosine. Document frequencies of
-the template words come from all files; a word that no template has counts with the
-weight of a word seen nowhere, so other prose in a line lowers its cosine. A file
+Passages of every whole file become sparse TF-IDF vectors and are compared with the
+templates by cosine: its lines, windows of about the length of a template that slide
+over its words whatever the lines, and all of a file named as licence file. Document
+frequencies of all words come from all files. Passages that would not match even if
+every other word stood in all files are left out; the others take the weights of their
+words by a join. A file
 without a licence of its own takes that of the nearest directory above it (or its own)
 that holds a recognised licence file.
 
@@ -19,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,6 +29,8 @@ from .store import staged
 from .text import slices
 
 MIN_COSINE = 0.7
+# Words that a task counts before it hands them on.
+HELD_WORDS = 500_000
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _LICENCE_FILE = r"^(?i)(licen[cs]e|copying|unlicense)([.-].*)?$"
 
@@ -55,12 +60,19 @@ class Matcher:
     def __init__(self, templates: list[tuple[str, str]], frequency: dict[str, int], n: int, least: float) -> None:
         self.least = least
         self.idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for _, t in templates for w in words(t)}
-        self.unseen = math.log(n + 1) + 1
+        self.n = n
         self.templates = []
         for name, text in templates:
             v = {w: c * self.idf[w] for w, c in words(text).items()}
             size = math.sqrt(sum(x * x for x in v.values()))
             self.templates.append((name, {w: x / size for w, x in v.items()}))
+        # per word of the templates, and last for any other: its part of the product with each template, and of the size
+        self.code = {w: i for i, w in enumerate(sorted(self.idf))}
+        weight = np.array([*(self.idf[w] for w in self.code), 1.0])
+        self.part = np.array([[t.get(w, 0.0) for w in [*self.code, ""]] for _, t in self.templates]) * weight
+        self.square = weight * weight
+        lengths = [sum(words(t).values()) for _, t in templates]
+        self.lengths = [sorted({max(1, n * 3 // 4), n, (n * 5 + 3) // 4}) for n in lengths]
         # common words alone cannot reach the least cosine: their part of each template is shorter than it
         order, common = sorted(self.idf, key=lambda w: (self.idf[w], w)), set()
         for w in order:
@@ -70,9 +82,8 @@ class Matcher:
             common = trial
         self.rare = sorted(set(self.idf) - common)
 
-    def best(self, passage: str) -> tuple[float, str | None]:
-        counts = words(passage)
-        v = {w: c * self.idf.get(w, self.unseen) for w, c in counts.items()}
+    def best(self, passage: list[str], frequency: dict[str, int]) -> tuple[float, str | None]:
+        v = {w: c * (self.idf.get(w) or math.log((self.n + 1) / (frequency.get(w, 0) + 1)) + 1) for w, c in Counter(passage).items()}
         size = math.sqrt(sum(x * x for x in v.values()))
         if not size:
             return 0.0, None
@@ -80,26 +91,49 @@ class Matcher:
         score, name = min(scored, key=lambda s: (-s[0], s[1]))
         return (min(score, 1.0), name) if score >= self.least else (0.0, None)
 
-    def scan(self, text: str | None, whole: bool) -> tuple[float, str | None]:
+    def passages(self, text: str | None, whole: bool) -> list[str]:
+        """Distinct passages, as words joined by blanks, that match if their other words weigh as little as can be."""
         low = (text or "").lower()
         if not any(w in low for w in self.rare):
-            return 0.0, None
-        found = [self.best(line) for line in low.split("\n") if any(w in line for w in self.rare)]
-        return min([*found, *([self.best(low)] if whole else [])], key=lambda s: (-s[0], s[1] or "~"), default=(0.0, None))
-
-
-def document_frequency(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
-    """In how many files each template word stands, and the number of files."""
+            return []
+        lines = [_WORD.findall(line) for line in low.split("\n")]
+        all_words = [w for line in lines for w in line]
+        total = len(all_words)
+        if not total:
+            return []
+        code = np.array([self.code.get(w, len(self.code)) for w in all_words])
+        square = np.concatenate([[0.0], np.cumsum(self.square[code])])
+        parts = [np.concatenate([[0.0], np.cumsum(p[code])]) for p in self.part]
+        stops = np.cumsum([len(line) for line in lines])
+        starts = stops - [len(line) for line in lines]
+        solid = stops > starts
+        fixed = [starts[solid], stops[solid]]
+        if whole:
+            fixed = [np.append(fixed[0], 0), np.append(fixed[1], total)]
+        found = set()
+        for part, lengths in zip(parts, self.lengths):
+            at = [np.arange(max(1, total - n + 1)) for n in lengths]
+            begin = np.concatenate([fixed[0], *at])
+            end = np.concatenate([fixed[1], *(np.minimum(b + n, total) for b, n in zip(at, lengths))])
+            # a word that stands twice counts more in the size, so this is not less than the cosine
+            reach = part[end] - part[begin] >= (self.least - 1e-9) * np.sqrt(square[end] - square[begin])
+            found.update(zip(begin[reach].tolist(), end[reach].tolist()))
+        return sorted({" ".join(all_words[a:b]) for a, b in found})
+
+
+def document_frequency(files: DataFrame) -> DataFrame:
+    """word and the number n of files in which it stands; the number of files stands at the empty word."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = Counter(), 0
         for batch in slices(batches):
             for text in batch.column("text").to_pylist():
-                seen.update(vocabulary.intersection(_WORD.findall((text or "").lower())))
+                seen.update(set(_WORD.findall((text or "").lower())))
             n += batch.num_rows
+            if len(seen) > HELD_WORDS:
+                yield pa.record_batch({"word": pa.array([*seen]), "n": pa.array([*seen.values()], pa.int64())})
+                seen.clear()
         yield pa.record_batch({"word": pa.array([*seen, ""]), "n": pa.array([*seen.values(), n], pa.int64())})
-    rows = files.select("text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row per template word
-    counts = {r.word: r.n for r in rows}
-    return counts, counts.pop("", 0)
+    return files.select("text").mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def directory(path: Column) -> Column:
@@ -109,18 +143,35 @@ def directory(path: Column) -> Column:
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = MIN_COSINE) -> DataFrame:
     """``files`` (key, path, text) with own_license, own_score, license, and the directory it is inherited_from."""
     vocabulary = {w for _, t in templates for w in words(t)}
-    frequency, n = document_frequency(files, vocabulary)
-    matcher = Matcher(templates, frequency, n, least)
+    frequency = staged(document_frequency(files), "frequency")
+    own_words = {r.word: r.n for r in frequency.filter(F.col("word").isin("", *vocabulary)).collect()}  # a row per template word
+    matcher = Matcher(templates, own_words, own_words.pop("", 0), least)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            got = [matcher.scan(t, bool(w)) for t, w in zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist())]
+            got = [matcher.passages(t, bool(w)) for t, w in zip(batch.column("text").to_pylist(), batch.column("whole").to_pylist())]
+            others = [sorted({w for p in g for w in p.split(" ")}.difference(vocabulary)) for g in got]
+            yield pa.record_batch([*(batch.column(c) for c in ("key", "path", "whole")), *(pa.array(c, pa.list_(pa.string())) for c in (got, others))],
+                                  ["key", "path", "whole", "passages", "others"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = []
+            for passages, known in zip(batch.column("passages").to_pylist(), batch.column("known").to_pylist()):
+                counts = {k["word"]: k["n"] for k in known or []}
+                got.append(min((matcher.best(p.split(" "), counts) for p in passages), key=lambda s: (-s[0], s[1] or "~"), default=(0.0, None)))
             yield pa.record_batch([*(batch.column(c) for c in ("key", "path", "whole")), pa.array([g[1] for g in got], pa.string()), pa.array([g[0] for g in got], pa.float64())],
                                   ["key", "path", "whole", "own_license", "own_score"])
     kind = files.schema["key"].dataType.simpleString()
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    own = (files.select("key", "path", F.coalesce(name.rlike(_LICENCE_FILE), F.lit(False)).alias("whole"), "text")
-           .mapInArrow(work, f"key {kind}, path string, whole boolean, own_license string, own_score double")
+    found = staged(files.select("key", "path", F.coalesce(name.rlike(_LICENCE_FILE), F.lit(False)).alias("whole"), "text")
+                   .mapInArrow(select, f"key {kind}, path string, whole boolean, passages array<string>, others array<string>")
+                   .withColumn("row", F.monotonically_increasing_id()), "passages")
+    wanted = found.select("row", F.explode("others").alias("word"))
+    needed = frequency.join(wanted.select("word").distinct(), "word", "left_semi")
+    known = wanted.join(needed, "word").groupBy("row").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    own = (found.join(known, "row", "left").select("key", "path", "whole", "passages", "known")
+           .mapInArrow(judge, f"key {kind}, path string, whole boolean, own_license string, own_score double")
            .withColumn("dir", directory(F.col("path"))))
     return inherit(staged(own, "scanned"))
 

@@ -243,7 +243,7 @@ def test_sentence_pieces_query_holds_spans(spark, folder, texts):
                 j = next(j for j in range(i, len(spans)) if spans[j][1] > spans[j][0])
                 spans[i] = spans[j]
         spans.append([size, size])
-        assert r.spans_sha256 == hashlib.sha256(" ".join(f"{b}:{e}" for b, e in spans).encode()).hexdigest()
+        assert r.spans_sha256 == hashlib.sha256(np.array(spans, "<i8").T.tobytes()).hexdigest()
 
 
 def test_spans_with_symbols(tmp_path, spark):
@@ -323,6 +323,28 @@ def test_license_scan(spark):
     assert licenses.scan(spark.createDataFrame([], "key long, path string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("n", [10, 1000])
+def test_license_notices_amid_other_words(spark, n):
+    """A notice is found with words before and after it and over lines, in tables of different size."""
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    notices = [("MIT", "Copyright Acme. Released under the MIT License."), ("MIT", "Code released under the MIT License."),
+               ("MIT", "Copyright 2024 Jane Doe. Released under the MIT License. All else is kept by the authors of this code"),
+               ("MIT", "# Released under\n# the MIT\n# License.\nimport os"), ("Apache-2.0", apache),
+               ("GPL-3.0", "see below\nThis program is free software: you can redistribute it\nand/or modify it under the terms of\nthe GNU General Public License as published"),
+               (None, "The terms of the license are under review by the public office.")]
+    filler = [(100 + i, None, f"code of the part {i} is under work by Jane Doe and others") for i in range(n)]
+    rows = [(i, None, t) for i, (_, t) in enumerate(notices)] + filler
+    got = {r.key: r for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    assert len(got) == len(rows) and [got[i].own_license for i in range(len(notices))] == [v for v, _ in notices]
+    assert all(got[k].own_license is None for k, _, _ in filler)
+    # the weights of other words are their own: by hand for a passage of one line
+    m = licenses.Matcher(licenses.TEMPLATES, {"the": 3}, 10, 0.0)
+    v = {w: m.idf.get(w, math.log(11 / 6) + 1) for w in ("mit", "license", "code")}
+    t = dict(m.templates[0][1])
+    want = sum(v[w] * t.get(w, 0) for w in v) / math.sqrt(sum(x * x for x in v.values()))
+    assert m.best(["mit", "license", "code"], {"code": 5}) == (pytest.approx(want), "MIT")
+
+
 def test_url_filter_dates(spark):
     t = lambda d: dt.datetime(2024, 1, d)
     captures = spark.createDataFrame([(1, "http://a.b.com/x/y", t(1)), (2, "http://a.b.com/x/y", t(3)), (3, "http://a.b.com/x/y", t(5)), (4, None, t(5)), (5, "http://q.org/", None), (6, "junk", t(2))],
