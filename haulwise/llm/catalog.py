@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import ann, katz, langid, licenses, lines, neardup, packing, pieces, quality, urls
+from . import ann, decontam, katz, langid, licenses, lines, neardup, packing, pieces, quality, urls
 
 # The vocabulary files belong to an installed package and are only named here.
 BYTE_BPE, BYTE_BPE_RANKS, PIECE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -77,6 +77,13 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return named.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.find(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    hit = F.aggregate(F.zip_with("ends", "begins", lambda e, b: e - b), F.lit(0).cast("long"), lambda total, n: total + n)
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("begins") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": pack,
@@ -89,9 +96,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": minhash,
         "op9_line_dedup": line_dedup,
         "op10_language_id": language_id,
+        "op11_decontamination": decontamination,
     }
 
 
 def sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
-    return {"op3_url_filter": urls.SQL, "op9_line_dedup": lines.SQL}
+    return {"op3_url_filter": urls.SQL, "op9_line_dedup": lines.SQL, "op11_decontamination": decontam.SQL}

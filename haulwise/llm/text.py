@@ -67,10 +67,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of some texts: ``start``/``end`` byte places, ``first[d]:first[d+1]`` the words of text d."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False) -> None:
+    def __init__(self, texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> None:
         data, offs = raw(texts)
         self.data, self.offs = data, offs
-        solid = ~SPACE[data]
+        solid = ~space[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[offs] = True
         before = np.ones(len(data), bool)
