@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import configure
-from . import ann, decontam, katz, langid, licenses, lines, neardup, packing, pieces, quality, urls
+from . import ann, codes, decontam, katz, langid, licenses, lines, neardup, negatives, packing, pieces, quality, urls
 
 # The vocabulary files belong to an installed package and are only named here.
 BYTE_BPE, BYTE_BPE_RANKS, PIECE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -84,6 +84,16 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("begins") > 0).alias("contaminated"))
 
 
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = codes.compress(_table(spark, folder, "embeddings"))
+    return codes.with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": pack,
@@ -97,9 +107,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": line_dedup,
         "op10_language_id": language_id,
         "op11_decontamination": decontamination,
+        "op12_hard_negatives": hard_negatives,
+        "op13_vector_codes": vector_codes,
     }
 
 
 def sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
-    return {"op3_url_filter": urls.SQL, "op9_line_dedup": lines.SQL, "op11_decontamination": decontam.SQL}
+    return {"op3_url_filter": urls.SQL, "op9_line_dedup": lines.SQL, "op11_decontamination": decontam.SQL,
+            "op12_hard_negatives": negatives.SQL, "op13_vector_codes": codes.SQL}
