@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -30,7 +31,6 @@ from .text import slices
 MARK = "▁"
 # Units that a task remembers before it starts anew.
 HELD_UNITS = 400_000
-JOINED = 1000
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -180,16 +180,15 @@ class Codec:
         self.inner = sentencepiece.SentencePieceProcessor(model_proto=b"".join(rest) + b"\x1a" + _put_varint(len(off)) + off)
         self.outer = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [self.outer.id_to_piece(i) for i in range(self.outer.get_piece_size())]
-        self.by_unit = not symbols and not any(MARK in p.lstrip(MARK) for p in pieces)
+        self.by_unit = not symbols and self.normalise.dummy and self.normalise.escape and not any(MARK in p.lstrip(MARK) for p in pieces)
         self.end = self.outer.eos_id()
         self.text_id = [str(i) for i in range(len(pieces))]
         # characters of the normalised text that a piece takes; a byte piece takes its character with the last byte
         self.is_byte = [self.outer.is_byte(i) for i in range(len(pieces))]
         self.width = [len(p) for p in pieces]
-        # with byte pieces nothing is unknown and the bytes of the pieces add up to those of the text
+        # with byte pieces nothing is unknown
         self.falls_back = sum(self.is_byte) == 256
-        self.bytes = np.array([1 if b else len(p.encode()) for p, b in zip(pieces, self.is_byte)], np.int64)
-        self.known: dict[str, list[int]] = {}
+        self._forget()
         lead = [b and not 0x80 <= int(p[3:5], 16) < 0xC0 for p, b in zip(pieces, self.is_byte)]
         # characters that a piece moves on by and that it spans; all bytes of one character share its source
         self.moves = np.array([n if not b else int(x) for n, b, x in zip(self.width, self.is_byte, lead)], np.int64)
@@ -199,30 +198,35 @@ class Codec:
         """Ids of a normalised text, without the end mark."""
         if not self.by_unit:
             return self.inner.encode(normal)
-        units = _UNIT.findall(normal)
+        at = self.numbers(self.units(normal))
+        return list(chain.from_iterable(self.flat[a:b].tolist() for a, b in zip(self.first[at], self.first[at + 1])))
+
+    @staticmethod
+    def units(normal: str) -> list[str]:
+        """Units of a normalised text that begins with a space mark, each without its first mark."""
+        if MARK + MARK not in normal:
+            return normal.split(MARK)[1:]
+        return [u[1:] for u in _UNIT.findall(normal)]
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """Where the units stand among those remembered; new ones are segmented by the library."""
         known = self.known
         new = list(set(units).difference(known))
+        if len(known) + len(new) > HELD_UNITS:
+            self._forget()
+            known, new = self.known, list(set(units))
         if new:
-            if len(known) + len(new) > HELD_UNITS:
-                known.clear()
-                new = list(set(units))
-            self.learn([u for u in new if u[0] == MARK and u[-1] != MARK])
-            known.update((u, self.inner.encode(u)) for u in new if u[0] != MARK or u[-1] == MARK)
-        return list(chain.from_iterable(map(known.__getitem__, units)))
-
-    def learn(self, units: list[str]) -> None:
-        """Segment unknown units, many as one text, and take them apart by the bytes of their pieces."""
-        if not self.falls_back:
-            self.known.update(zip(units, self.inner.encode(units, num_threads=1)))
-            return
-        for i in range(0, len(units), JOINED):
-            some = units[i:i + JOINED]  # no piece runs on from a character into a space mark
-            ids = np.array(self.inner.encode("".join(some)), np.int64)
-            stops = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
-            ids, at = ids.tolist(), 0
-            for unit, stop in zip(some, stops.tolist()):
-                self.known[unit] = ids[at:stop]
-                at = stop
+            found = self.inner.encode([MARK + u for u in new], num_threads=1)
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int64)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+            self.spelt = np.concatenate([self.spelt, np.array([" ".join(map(self.text_id.__getitem__, p)) for p in found], object)])
+        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+
+    def _forget(self) -> None:
+        """Units remembered: number of each, their ids one behind the other and where each one's begin, and these as text."""
+        self.known: dict[str, int] = {}
+        self.flat, self.first, self.spelt = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, object)
 
     def encode(self, text: str | None) -> list[int]:
         return [*self.ids(self.normalise(text or "")[0]), self.end]
@@ -245,6 +249,32 @@ class Codec:
         to = np.cumsum(moves)
         return [*found, self.end], np.append(where[to - covers], where[-1]), np.append(where[to], where[-1])
 
+    def spans_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """``spans`` of some texts: ids, begins and ends of all, where each text's begin, and its ids as text (decimal, joined by spaces)."""
+        if not self.by_unit or not self.falls_back:
+            got = [self.spans(t) for t in texts]
+            ids, begins, ends = (np.concatenate(c).astype(np.int64) if got else np.zeros(0, np.int64) for c in (zip(*got) if got else ((), (), ())))
+            return ids, begins, ends, np.cumsum([0, *(len(g[0]) for g in got)]), [" ".join(map(str, g[0])) for g in got]
+        normal = [self.normalise(t or "") for t in texts]
+        units = [self.units(n) for n, _ in normal]
+        number, distinct = pd.factorize(np.array(list(chain.from_iterable(units)), object))
+        place = self.numbers(list(distinct))[number]
+        # the pieces of every unit in the order of the texts
+        taken = self.first[place + 1] - self.first[place]
+        ids = self.flat[np.repeat(self.first[place] - np.cumsum(taken) + taken, taken) + np.arange(taken.sum())]
+        cuts = np.cumsum([0, *map(len, units)])
+        per_text = np.diff(np.append(0, np.cumsum(taken))[cuts])
+        own = np.repeat(np.arange(len(texts)), per_text)
+        where = np.concatenate([w for _, w in normal])
+        to = np.cumsum(self.moves[ids]) + own  # each text has one place more than characters
+        stops = np.cumsum([len(w) for _, w in normal]) - 1
+        at = np.cumsum(per_text)
+        put = lambda values, last: np.insert(values, at, last)
+        spelt = self.spelt[place]
+        named = [" ".join([*spelt[a:b], self.text_id[self.end]]) for a, b in zip(cuts[:-1], cuts[1:])]
+        return (put(ids, self.end), put(where[to - self.covers[ids]], where[stops]), put(where[to], where[stops]),
+                np.append(0, at + np.arange(1, len(texts) + 1)), named)
+
     def _unknown(self, char: str) -> bool:
         return self.outer.piece_to_id(char) == self.outer.unk_id()
 
@@ -256,14 +286,17 @@ SPANS = "ids array<int>, begins array<long>, ends array<long>"
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string"
 
 
+def _slices(batches: Iterator[pa.RecordBatch], codec: Codec) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+    for batch in slices(batches, budget=1 << 20):
+        yield batch, codec.spans_many(batch.column("text").to_pylist())
+
+
 def encode_spans(docs: DataFrame, model: str) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, ids and the byte span of every piece."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
-        for batch in slices(batches, budget=1 << 20):
-            got = [codec.spans(t) for t in batch.column("text").to_pylist()]
-            offsets = pa.array(np.cumsum([0, *(len(g[0]) for g in got)]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c), k)) for c, k in zip(zip(*got), (pa.int32(), pa.int64(), pa.int64()))]
+        for batch, (*columns, cuts, _) in _slices(batches, Codec(model)):
+            offsets = pa.array(cuts, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c, k)) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64()))]
             yield pa.record_batch([batch.column("doc_id"), *lists], ["doc_id", "ids", "begins", "ends"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {SPANS}")
@@ -273,20 +306,16 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, number of ids, and digests of the ids, of the text decoded from them and of their spans.
 
     The digest of the spans is over the begins of all pieces and then their ends, eight bytes each, little-endian.
+    Ids and spans stay in the task that found them.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            n, of_ids, of_text, of_spans = [], [], [], []
-            for i in range(batch.num_rows):
-                ids = batch.column("ids")[i].values.to_pylist()
-                begins, ends = (batch.column(c)[i].values.to_numpy().astype("<i8").tobytes() for c in ("begins", "ends"))
-                n.append(len(ids))
-                of_ids.append(sha(" ".join(map(codec.text_id.__getitem__, ids))))
-                of_text.append(sha(codec.decode(ids)))
-                of_spans.append(hashlib.sha256(begins + ends).hexdigest())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(c, pa.string()) for c in (of_ids, of_text, of_spans))],
+        sha = lambda s: hashlib.sha256(s).hexdigest()
+        for batch, (ids, begins, ends, cuts, named) in _slices(batches, codec):
+            rows = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+            digests = ([sha(s.encode()) for s in named], [sha(codec.decode(ids[a:b].tolist()).encode()) for a, b in rows],
+                       [sha(begins[a:b].astype("<i8").tobytes() + ends[a:b].astype("<i8").tobytes()) for a, b in rows])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(cuts), pa.int64()), *(pa.array(c, pa.string()) for c in digests)],
                                   ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return encode_spans(docs, model).mapInArrow(work, f"doc_id {kind}, {DIGEST}")
+    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, {DIGEST}")
