@@ -31,6 +31,37 @@ EXTRA = {
             ORDER BY customer_value IS NULL, -customer_value, CASE WHEN customer_value IS NULL THEN placed_at END, order_id
             ROWS UNBOUNDED PRECEDING) run
           FROM valued v JOIN inventory i ON i.product_id = v.product_id AND i.warehouse_id = v.warehouse_id)""",
+    "per_product": """
+        SELECT p.product_id, stock, supplier_capacity, lead_time_days, warehouse_capacity, production_capacity FROM products p
+        LEFT JOIN (SELECT product_id, CAST(sum(stock_level) AS BIGINT) stock FROM inventory GROUP BY 1) a ON a.product_id = p.product_id
+        LEFT JOIN (SELECT product_id, CAST(sum(CAST(capacity_score AS DECIMAL(18,3))) AS DOUBLE) supplier_capacity, min(lead_time_days) lead_time_days
+          FROM (SELECT DISTINCT product_id, supplier_id FROM items) JOIN suppliers USING (supplier_id) GROUP BY 1) b ON b.product_id = p.product_id
+        LEFT JOIN (SELECT product_id, CAST(sum(capacity_units) AS BIGINT) warehouse_capacity FROM inventory JOIN warehouses USING (warehouse_id)
+          GROUP BY 1) c ON c.product_id = p.product_id
+        LEFT JOIN (SELECT product_id, CAST(sum(capacity_units_per_day) AS BIGINT) production_capacity FROM (SELECT DISTINCT product_id, factory_id FROM routed)
+          JOIN factories USING (factory_id) GROUP BY 1) d ON d.product_id = p.product_id""",
+    "limits": """
+        SELECT i.product_id, i.warehouse_id, stock_level inventory, capacity_units warehouse_capacity, supplier_capacity,
+          production_capacity * 30 production_capacity, lead_time_days
+        FROM inventory i LEFT JOIN warehouses w ON w.warehouse_id = i.warehouse_id LEFT JOIN per_product p ON p.product_id = i.product_id""",
+    "missing": """
+        SELECT v.*, inventory, warehouse_capacity, supplier_capacity, production_capacity, lead_time_days,
+          CASE WHEN inventory IS NULL THEN 'no inventory' WHEN warehouse_capacity IS NULL THEN 'no warehouse_capacity'
+            WHEN supplier_capacity IS NULL THEN 'no supplier_capacity' WHEN production_capacity IS NULL THEN 'no production_capacity'
+            WHEN lead_time_days IS NULL THEN 'no lead_time_days' END missing
+        FROM valued v LEFT JOIN limits l ON l.product_id = v.product_id AND l.warehouse_id = v.warehouse_id""",
+    "in_cell": """
+        SELECT *, CAST(greatest(0, least(wanted, least(inventory, warehouse_capacity) - (run - wanted))) AS BIGINT) take FROM (
+          SELECT *, sum(wanted) OVER (PARTITION BY product_id, warehouse_id ORDER BY customer_value IS NULL, -customer_value,
+            CASE WHEN customer_value IS NULL THEN placed_at END, order_id ROWS UNBOUNDED PRECEDING) run FROM (
+            SELECT *, CASE WHEN missing IS NULL AND NOT late THEN quantity ELSE 0 END wanted FROM (
+              SELECT *, coalesce(lead_time_days > coalesce(sla_days, 60), false) late FROM missing)))""",
+    "nested": """
+        SELECT *, coalesce(missing, CASE WHEN late THEN 'lead time exceeds the agreed days' WHEN granted = quantity THEN NULL
+            WHEN granted < coalesce(take, 0) THEN 'product capacity used up' ELSE 'cell capacity used up' END) reason FROM (
+          SELECT *, CAST(coalesce(greatest(0, least(t, floor(least(supplier_capacity, production_capacity)) - (run2 - t))), 0) AS BIGINT) granted FROM (
+            SELECT *, coalesce(take, 0) t, sum(coalesce(take, 0)) OVER (PARTITION BY product_id ORDER BY customer_value IS NULL, -customer_value,
+              CASE WHEN customer_value IS NULL THEN placed_at END, order_id, warehouse_id ROWS UNBOUNDED PRECEDING) run2 FROM in_cell))""",
     "monthly": """
         SELECT product_id, warehouse_id, date_trunc('month', ship_date) mon, sum(quantity) quantity FROM routed GROUP BY 1, 2, 3""",
     "lead": """
@@ -91,6 +122,10 @@ def granted(m):
         "product_id", "warehouse_id", "order_id", "quantity", "customer_value", "capacity", "granted")
 
 
+def nested(m):
+    return dc.allocate_nested(dc.fifo_fallback(valued(m)), dc.nested_limits(m.staged))
+
+
 def need(m):
     return dc.open_demand(m).groupBy("product_id").agg(F.sum("demand").alias("required_qty"))
 
@@ -186,15 +221,7 @@ def register(cat) -> None:
         SELECT *, CASE WHEN decision_type = 'alternative_supplier' THEN 'llm' ELSE 'optimizer' END routed_to FROM (
           SELECT request_id, CASE "source" WHEN '1-URGENT' THEN 'customer_allocation' WHEN '2-HIGH' THEN 'po_split'
             WHEN '3-MEDIUM' THEN 'safety_stock' ELSE 'alternative_supplier' END decision_type FROM requests)"""))
-    cat.add("assemble_constraints", lambda m: dc.assemble_constraints(m.staged), ora("""
-        SELECT p.product_id, stock, supplier_capacity, lead_time_days, warehouse_capacity, production_capacity FROM products p
-        LEFT JOIN (SELECT product_id, CAST(sum(stock_level) AS BIGINT) stock FROM inventory GROUP BY 1) a ON a.product_id = p.product_id
-        LEFT JOIN (SELECT product_id, CAST(sum(CAST(capacity_score AS DECIMAL(18,3))) AS DOUBLE) supplier_capacity, min(lead_time_days) lead_time_days
-          FROM (SELECT DISTINCT product_id, supplier_id FROM items) JOIN suppliers USING (supplier_id) GROUP BY 1) b ON b.product_id = p.product_id
-        LEFT JOIN (SELECT product_id, CAST(sum(capacity_units) AS BIGINT) warehouse_capacity FROM inventory JOIN warehouses USING (warehouse_id)
-          GROUP BY 1) c ON c.product_id = p.product_id
-        LEFT JOIN (SELECT product_id, CAST(sum(capacity_units_per_day) AS BIGINT) production_capacity FROM (SELECT DISTINCT product_id, factory_id FROM routed)
-          JOIN factories USING (factory_id) GROUP BY 1) d ON d.product_id = p.product_id"""))
+    cat.add("assemble_constraints", lambda m: dc.assemble_constraints(m.staged), dsql("SELECT * FROM per_product"))
     cat.add("validate_policy", lambda m: dc.validate_policy(m.suppliers, {
         "inactive": ~F.col("is_active"), "slow": F.col("lead_time_days") > 28, "small": F.col("capacity_score") < 12}).select(
         "supplier_id", "broken_rules", "is_eligible"), ora("""
@@ -225,6 +252,18 @@ def register(cat) -> None:
     cat.add("customer_value", lambda m: valued(m).select("order_id", "product_id", "warehouse_id", "quantity", "customer_value"), dsql(
         "SELECT order_id, product_id, warehouse_id, quantity, customer_value FROM valued"))
     cat.add("allocate", granted, dsql("SELECT * FROM granted"))
+    cat.add("allocate_nested", lambda m: nested(m).select(
+        "order_id", "product_id", "warehouse_id", "quantity", "granted", "reason"), dsql(
+        "SELECT order_id, product_id, warehouse_id, quantity, granted, reason FROM nested"))
+    cat.add("allocation_result", lambda m: dc.allocation_result(nested(m)).select("*", "constraints_applied.*").drop("constraints_applied"), dsql("""
+        SELECT n.product_id, CAST(sum(quantity) AS BIGINT) requested, CASE WHEN max(missing) IS NULL THEN CAST(sum(granted) AS BIGINT) END granted,
+          CASE WHEN max(missing) IS NULL THEN round(coalesce(sum(granted * customer_value), 0), 6) + 0.0 END objective_value,
+          max(missing) IS NULL optimal, max(missing) reason, count(*) FILTER (reason = 'lead time exceeds the agreed days') too_late,
+          any_value(si) inventory, any_value(sw) warehouse_capacity, max(supplier_capacity) supplier_capacity,
+          CAST(max(production_capacity) AS BIGINT) production_capacity, max(lead_time_days) lead_time_days
+        FROM nested n JOIN (SELECT product_id, CAST(sum(inventory) AS BIGINT) si, CAST(sum(warehouse_capacity) AS BIGINT) sw FROM (
+          SELECT DISTINCT product_id, warehouse_id, inventory, warehouse_capacity FROM nested) GROUP BY 1) s ON s.product_id = n.product_id
+        GROUP BY n.product_id"""))
     cat.add("fifo_fallback", lambda m: dc.allocate(
         dc.fifo_fallback(valued(m).filter(F.col("customer_value").isNull())), caps(m), ["product_id", "warehouse_id"]).select(
         "order_id", "product_id", "warehouse_id", "placed_at", "quantity", "granted"), dsql("""

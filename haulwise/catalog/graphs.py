@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import features as ft, graph as g, traversal as tv
+from ..operators import features as ft, graph as g, scenario as sc, traversal as tv
 from ..session import scratch_path
 from ..sources import sinks
-from .ctes import ora
+from .ctes import CAT, ora
 
 NODES_SQL = """
     SELECT 'supplier' node_type, CAST(s_suppkey AS VARCHAR) node_id, 18 n_features FROM supplier
@@ -65,6 +65,23 @@ HOP = """SELECT b.node_type, b.node_id, CASE WHEN mm IS NULL THEN risk ELSE risk
 EXTRA["hop0"] = "SELECT node_type, node_id, risk score FROM base_risk"
 for _i in (1, 2, 3):
     EXTRA[f"hop{_i}"] = HOP.format(prev=f"hop{_i - 1}")
+# two whole runs, without and with the overrides
+STRONG = HOP.replace("0.4::DOUBLE", "0.050000000000000044::DOUBLE").replace("0.6::DOUBLE", "0.95::DOUBLE")
+EXTRA["simulated_risk"] = """
+    SELECT b.node_type, b.node_id, CASE WHEN node_type = 'supplier' AND k % 11 <> 0 AND k % 13 <> 0 AND (k % 3 = 0 OR k % 5 = 0)
+      THEN round(greatest(0, least(1, 1 - CASE WHEN k % 3 = 0 THEN 0.05::DOUBLE ELSE coalesce(reliability, 1 - risk) END
+        + coalesce(CASE WHEN k % 5 = 0 THEN (42 + k % 30 - lead_time_days) * (1 / 90.0::DOUBLE) END, 0))), 6) ELSE risk END risk
+    FROM (SELECT *, CASE WHEN node_type = 'supplier' THEN CAST(node_id AS BIGINT) END k FROM base_risk) b
+    LEFT JOIN suppliers s ON s.supplier_id = k LEFT JOIN reliability_now r ON r.supplier_id = k"""
+for _run, _base in (("now", "base_risk"), ("then", "simulated_risk")):
+    EXTRA[f"{_run}0"] = f"SELECT node_type, node_id, risk score FROM {_base}"
+    for _i in (1, 2, 3):
+        EXTRA[f"{_run}{_i}"] = STRONG.format(prev=f"{_run}{_i - 1}").replace("FROM base_risk b", f"FROM {_base} b")
+EXTRA["what_if"] = f"""
+    SELECT node_type, node_id, base_score, {CAT.format('base_score')} base_category, simulated_score, {CAT.format('simulated_score')} simulated_category,
+      round(simulated_score - base_score, 6) + 0.0 change FROM (
+      SELECT a.node_type, a.node_id, round(a.score + 1e-9, 6) + 0.0 base_score, round(b.score + 1e-9, 6) + 0.0 simulated_score
+      FROM now3 a JOIN then3 b ON a.node_type = b.node_type AND a.node_id = b.node_id) WHERE round(simulated_score - base_score, 6) <> 0"""
 
 
 def gsql(sql: str) -> str:
@@ -102,6 +119,34 @@ def base_risk(m):
             .unionByName(zero(m.raw("orders"), "order", "o_orderkey")))
 
 
+def supplier_features(m):
+    """Own risk of every node on the flow graph, with the features of the suppliers."""
+    known = m.suppliers.select(F.lit("supplier").alias("node_type"), F.col("supplier_id").cast("string").alias("node_id"), F.col("lead_time_days").cast("double"))
+    rel = ft.reliability_now(m.shipments).select(F.lit("supplier").alias("node_type"), F.col("supplier_id").cast("string").alias("node_id"), "reliability")
+    return base_risk(m).join(known, ["node_type", "node_id"], "left").join(rel, ["node_type", "node_id"], "left")
+
+
+def feature_overrides(m):
+    """Unreliable and slow suppliers; some values are out of range, of no feature or of no supplier."""
+    k = F.col("s_suppkey")
+    one = lambda keep, feature, value: m.raw("supplier").filter(keep).select(
+        F.lit("supplier").alias("node_type"), k.cast("string").alias("node_id"), F.lit(feature).alias("feature"), value.cast("double").alias("value"))
+    none = m.raw("supplier").agg(F.max("s_suppkey").alias("m")).select(
+        F.lit("supplier").alias("node_type"), (F.col("m") + 1).cast("string").alias("node_id"), F.lit("reliability").alias("feature"), F.lit(0.5).alias("value"))
+    return (one(k % 3 == 0, "reliability", F.lit(0.05)).unionByName(one(k % 5 == 0, "lead_time_days", 42 + k % 30))
+            .unionByName(one(k % 11 == 0, "lead_time_days", F.lit(-5))).unionByName(one(k % 13 == 0, "colour", F.lit(1))).unionByName(none))
+
+
+def what_if(m):
+    """Every node whose score changes in the scenario of ``feature_overrides``."""
+    base = m.written(supplier_features(m.staged), "features")
+    usable, _ = sc.check_features(feature_overrides(m), base)
+    changed = sc.changed_risk(base, usable).select("node_type", "node_id", (F.col("simulated") - F.col("risk")).alias("delta"))
+    flow = stored_flow(m)
+    now = tv.propagate_risk(base.select("node_type", "node_id", "risk"), flow, 3, 0.95, digits=None)
+    return sc.rescored_nodes(now, sc.spread_change(changed, flow, 3, 0.95))
+
+
 def supplier_values(m):
     return m.raw("supplier").select("s_suppkey").join(
         ft.reliability_now(m.shipments), F.col("supplier_id") == F.col("s_suppkey"), "left").select(
@@ -262,6 +307,13 @@ def register(cat) -> None:
         FROM part, (SELECT min(p_retailprice) lo, max(p_retailprice) hi FROM part) GROUP BY 1, 2
         UNION ALL SELECT 'shipment', CAST(shipment_id AS VARCHAR), NULL, NULL, round(risk, 6)
         FROM shipments JOIN base_risk ON node_type = 'supplier' AND node_id = CAST(supplier_id AS VARCHAR)"""))
+    cat.add("what_if_rejected", lambda m: sc.check_features(feature_overrides(m), base_risk(m))[1], gsql("""
+        SELECT 'supplier' node_type, CAST(s_suppkey AS VARCHAR) node_id, 'lead_time_days' feature, -5.0::DOUBLE "value", 'out of range' reason
+        FROM supplier WHERE s_suppkey % 11 = 0 UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), 'colour', 1.0, 'unknown feature' FROM supplier
+        WHERE s_suppkey % 13 = 0 UNION ALL SELECT 'supplier', CAST(max(s_suppkey) + 1 AS VARCHAR), 'reliability', 0.5, 'unknown node' FROM supplier"""))
+    cat.add("rescore_downstream", what_if, gsql("SELECT * FROM what_if"))
+    cat.add("shifted_downstream", lambda m: sc.shifted_nodes(what_if(m)), gsql("""
+        SELECT * FROM what_if WHERE node_type IN ('order', 'product') AND base_category <> simulated_category"""))
     cat.add("propagate_risk", lambda m: tv.propagate_risk(m.written(base_risk(m.staged), "base"), stored_flow(m), 3, 0.6),
             gsql("SELECT node_type, node_id, round(score, 9) score FROM hop3"))
 

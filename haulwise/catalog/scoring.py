@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..operators import features as ft, graph as g, risk as rk, views as vw
-from .ctes import ora
+from .ctes import CAT, ora
 from .graphs import supplier_values
 
-CAT = """CASE WHEN {0} >= 0.75 THEN 'critical' WHEN {0} >= 0.5 THEN 'high' WHEN {0} >= 0.25 THEN 'medium' ELSE 'low' END"""
 EXTRA = {
     "touched": "SELECT supplier_id, count(DISTINCT order_id) affected_orders FROM lines GROUP BY 1",
     "current_scores": f"SELECT *, {CAT.format('delay_probability')} risk_category FROM latest",

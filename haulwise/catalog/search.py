@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..plans import cells, postings
 from ..operators import evidence as ev, risk as rk, similarity as sm
 from ..sources.model import CHUNK_OVERLAP, CHUNK_SIZE
 from .ctes import ora
@@ -116,9 +117,13 @@ def invoices(m):
     return m.raw("orders").select(k.alias("order_id"), text.alias("text"))
 
 
+def retrieved(m):
+    return ev.retrieve(questions(m), m.index, AS_OF, vectors=m.cells, words=m.postings)
+
+
 def bundle(m):
     scores = rk.enrich(m.supplier_signals)
-    hits = ev.retrieve(questions(m), m.index, AS_OF).join(questions(m).select("query_id", "supplier_id"), "query_id")
+    hits = retrieved(m).join(questions(m).select("query_id", "supplier_id"), "query_id")
     return ev.evidence_bundle(scores, rk.formula_breakdown(m.supplier_signals, "supplier_id"), hits)
 
 
@@ -148,6 +153,12 @@ def register(cat) -> None:
     cat.add("approx_neighbors", lambda m: sm.approx_neighbors(vectors(m), 5))
     cat.add("recall_at_k", lambda m: sm.recall_at_k(sm.similar_to(vectors(m).withColumn("component_type", F.lit(0)), 5),
                                                     sm.approx_neighbors(vectors(m), 5)))
+    cat.add("neighbor_cost", lambda m: sm.neighbor_cost(vectors(m), 5))
+    cat.add("certified_neighbors", lambda m: sm.certified_neighbors(vectors(m), 5), esql("""
+        SELECT supplier_id query_id, item_id, similarity, CAST(rn AS INTEGER) "rank" FROM (
+          SELECT a.supplier_id, b.supplier_id item_id, round(list_dot_product(a.v, b.v) / (a.nv * b.nv), 6) + 0.0 similarity,
+            row_number() OVER (PARTITION BY a.supplier_id ORDER BY round(list_dot_product(a.v, b.v) / (a.nv * b.nv), 6) DESC, b.supplier_id) rn
+          FROM vecs a JOIN vecs b ON a.supplier_id <> b.supplier_id) WHERE rn <= 5"""))
 
     # -- evidence ----------------------------------------------------------------------------
     cat.add("extract_fields", lambda m: ev.extract_fields(invoices(m), "text"), esql("SELECT * FROM extracted"))
@@ -162,13 +173,16 @@ def register(cat) -> None:
         "chunk_id", "collection", "supplier_id", "published_at"), esql("""
         SELECT chunk_id, collection, supplier_id, published_at FROM chunks WHERE collection IN ('incidents', 'contracts') AND supplier_id = 7
           AND published_at >= DATE '2024-03-01'"""))
-    cat.add("vector_search", lambda m: ev.vector_search(questions(m), m.index, 20), esql("SELECT * FROM vec_hits"))
-    cat.add("keyword_search", lambda m: ev.keyword_search(questions(m), m.index, 20), esql("SELECT * FROM kw_hits"))
-    cat.add("rrf", lambda m: ev.rrf(ev.vector_search(questions(m), m.index, 20), ev.keyword_search(questions(m), m.index, 20)),
+    cat.add("vector_search", lambda m: ev.vector_search(questions(m), m.index, 20, m.cells), esql("SELECT * FROM vec_hits"))
+    cat.add("keyword_search", lambda m: ev.keyword_search(questions(m), m.index, 20, m.postings), esql("SELECT * FROM kw_hits"))
+    cat.add("keyword_search_cost", lambda m: postings.cost(m.postings, questions(m), 20).select("pairs_that_share"), esql("""
+        SELECT count(*) pairs_that_share FROM (SELECT DISTINCT query_id, chunk_id FROM q_terms JOIN postings USING (term))"""))
+    cat.add("keyword_search_scored", lambda m: postings.cost(m.postings, questions(m), 20))
+    cat.add("rrf", lambda m: ev.rrf(ev.vector_search(questions(m), m.index, 20, m.cells), ev.keyword_search(questions(m), m.index, 20, m.postings)),
             esql("SELECT * FROM fused"))
-    cat.add("rerank", lambda m: ev.rerank(ev.rrf(ev.vector_search(questions(m), m.index, 20), ev.keyword_search(questions(m), m.index, 20)),
+    cat.add("rerank", lambda m: ev.rerank(ev.rrf(ev.vector_search(questions(m), m.index, 20, m.cells), ev.keyword_search(questions(m), m.index, 20, m.postings)),
                                           m.index, questions(m), AS_OF), esql("SELECT * FROM reranked"))
-    cat.add("retrieve", lambda m: ev.retrieve(questions(m), m.index, AS_OF), esql("SELECT * FROM retrieved"))
+    cat.add("retrieve", lambda m: retrieved(m), esql("SELECT * FROM retrieved"))
     cat.add("index_increment", lambda m: ev.index_increment(indexed(m), m.raw("documents").select("doc_id", "text")).select("doc_id", "content_hash"),
             "SELECT doc_id, md5(text) content_hash FROM documents WHERE doc_id % 7 = 0 OR doc_id % 5 = 0")
 
@@ -181,7 +195,7 @@ def register(cat) -> None:
         SELECT doc_id, v first_number, CASE WHEN v IS NULL THEN 'failed' ELSE 'parsed' END state FROM (
           SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS INTEGER) v FROM documents)""")
     cat.add("retrieval_relevance", lambda m: ev.retrieval_relevance(
-        ev.retrieve(questions(m), m.index, AS_OF), questions(m), m.raw("labels").filter("quality = 1")), esql("""
+        retrieved(m), questions(m), m.raw("labels").filter("quality = 1")), esql("""
         SELECT count(*) n_queries, round(avg(CASE WHEN query_id IN (SELECT query_id FROM retrieved WHERE doc_id IN
           (SELECT doc_id FROM labels WHERE quality = 1)) THEN 1.0 ELSE 0.0 END), 6) relevance FROM questions"""))
     cat.add("evidence_bundle", bundle)

@@ -126,6 +126,68 @@ def allocate(lines: DataFrame, caps: DataFrame, keys: Sequence[str], tie: str =
     return run.join(caps, list(keys)).withColumn("granted", grant.cast("bigint")).drop("_run")
 
 
+def nested_limits(m, horizon_days: int = 30) -> DataFrame:
+    """Per product and warehouse what binds there and in the whole product.
+
+    A cell grants no more than its stock and its warehouse's capacity; all cells of a product no more than
+    its suppliers' capacity and what its factories make in ``horizon_days``.
+    """
+    per_product = assemble_constraints(m).select(
+        "product_id", "supplier_capacity", "lead_time_days", (F.col("production_capacity") * horizon_days).alias("production_capacity"))
+    site = m.warehouses.select("warehouse_id", F.col("capacity_units").alias("warehouse_capacity"))
+    cells = m.inventory.select("product_id", "warehouse_id", F.col("stock_level").alias("inventory")).join(site, "warehouse_id", "left")
+    return cells.join(per_product, "product_id", "left").select("product_id", "warehouse_id", "inventory", "warehouse_capacity", "supplier_capacity",
+                                                                "production_capacity", "lead_time_days")
+
+
+LIMITS = ["inventory", "warehouse_capacity", "supplier_capacity", "production_capacity", "lead_time_days"]
+
+
+def missing_limit() -> Column:
+    """The first constraint that is not known; null if all are."""
+    return F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"no {c}")) for c in LIMITS])
+
+
+def allocate_nested(lines: DataFrame, limits: DataFrame, tie: str = "order_id") -> DataFrame:
+    """Grants under nested capacities: a line in its cell, the cell in its product.
+
+    max sum(q * v) with 0 <= q <= demand, sums per cell and per product within their limits, and no
+    grant to an order that wants delivery sooner than the lead time. The limits are nested, so serving by
+    value is optimal: first within each cell, then what cells would grant within the product.
+    A line whose cell lacks a limit gets nothing and the reason. ``lines`` come from ``fifo_fallback``.
+    """
+    known = lines.join(limits, ["product_id", "warehouse_id"], "left").withColumn("reason", F.coalesce(
+        missing_limit(), F.when(F.col("lead_time_days") > F.coalesce("sla_days", F.lit(60)), "lead time exceeds the agreed days")))
+    cell = F.least("inventory", "warehouse_capacity")
+    whole = F.floor(F.least("supplier_capacity", F.col("production_capacity").cast("double")))
+    wanted = F.when(F.col("reason").isNull(), F.col("quantity")).otherwise(F.lit(0))
+    order = ["serve_group", "serve_key", tie]
+    left = lambda run, take, cap: F.greatest(F.lit(0), F.least(take, cap - (F.col(run) - take)))
+    first = running_sum(known.withColumn("_wanted", wanted), ["product_id", "warehouse_id"], "serve_band", order, {"_run": F.col("_wanted")})
+    first = first.withColumn("_take", F.coalesce(left("_run", F.col("_wanted"), cell), F.lit(0)).cast("bigint")).drop("_run")
+    second = running_sum(first, ["product_id"], "serve_band", [*order, "warehouse_id"], {"_run": F.col("_take")})
+    granted = F.coalesce(left("_run", F.col("_take"), whole), F.lit(0)).cast("bigint")
+    reason = F.coalesce("reason", F.when(F.col("_granted") == F.col("quantity"), F.lit(None)).when(
+        F.col("_granted") < F.col("_take"), "product capacity used up").otherwise("cell capacity used up"))
+    return second.withColumn("_granted", granted).select(*lines.columns, *LIMITS, F.col("_granted").alias("granted"), reason.alias("reason"))
+
+
+def allocation_result(allocated: DataFrame) -> DataFrame:
+    """Per product: what was asked and granted, the objective, whether it is optimal, why not, and the limits that applied."""
+    missing = F.max(F.when(F.col("reason").startswith("no "), F.col("reason")))
+    site = allocated.select("product_id", "warehouse_id", "inventory", "warehouse_capacity").distinct().groupBy("product_id").agg(
+        F.sum("inventory").alias("inventory"), F.sum("warehouse_capacity").alias("warehouse_capacity"))
+    out = allocated.groupBy("product_id").agg(
+        F.sum("quantity").alias("requested"), F.sum("granted").alias("granted"),
+        fx.r6(F.coalesce(F.sum(F.col("granted") * F.col("customer_value")), F.lit(0.0))).alias("objective_value"),
+        F.count_if(F.col("reason") == "lead time exceeds the agreed days").alias("too_late"), missing.alias("reason"),
+        *[F.max(c).alias(c) for c in LIMITS[2:]])
+    return out.join(site, "product_id").withColumn("optimal", F.col("reason").isNull()).select(
+        "product_id", "requested", F.when(F.col("optimal"), F.col("granted")).alias("granted"),
+        F.when(F.col("optimal"), F.col("objective_value")).alias("objective_value"), "optimal", "reason", "too_late",
+        F.struct(*LIMITS).alias("constraints_applied"))
+
+
 def check_adjustment(edited: DataFrame, caps: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Groups whose edited quantities exceed the capacity; the proposal itself is untouched."""
     total = edited.groupBy(*keys).agg(F.sum("adjusted").alias("adjusted_total"))

@@ -9,7 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as fx
-from ..plans.tiles import top_k_dot
+from ..plans import cells, postings
+from ..plans.cells import Cells
+from ..plans.postings import Postings
 from ..plans.windows import top_per_key
 
 # Patterns of the document fields.
@@ -85,37 +87,34 @@ def filter_metadata(chunks: DataFrame, collections: Sequence[str] = (), supplier
     return chunks
 
 
-def vector_search(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """Cosine top-n chunks per query."""
-    q = queries.select("query_id", F.lit(0).alias("block"), fx.unit(F.col("embedding")).alias("vec"))
-    c = chunks.filter(F.col("embedding").isNotNull()).select(
-        F.col("chunk_id").alias("item_id"), F.lit(0).alias("block"), fx.unit(F.col("embedding")).alias("vec"))
-    hits = top_k_dot(q.filter(F.col("vec").isNotNull()), c.filter(F.col("vec").isNotNull()), n)
+def vector_index(chunks: DataFrame, write=None) -> Cells:
+    """Coarse cells over the chunks that have a vector."""
+    vectors = chunks.filter(F.col("embedding").isNotNull()).select(F.col("chunk_id").alias("item_id"), fx.unit(F.col("embedding")).alias("vec"))
+    return cells.build(vectors.filter(F.col("vec").isNotNull()), write=write)
+
+
+def vector_search(queries: DataFrame, chunks: DataFrame, n: int, index: Cells | None = None) -> DataFrame:
+    """Cosine top-n chunks per query: cells that cannot hold one of them are not opened (``plans/cells.py``).
+
+    Without an ``index`` one is made of ``chunks``.
+    """
+    q = queries.select("query_id", fx.unit(F.col("embedding")).alias("vec"))
+    hits = cells.search(index or vector_index(chunks), q.filter(F.col("vec").isNotNull()), n)
     return hits.select("query_id", F.col("item_id").alias("chunk_id"), "similarity", F.col("rank").alias("vector_rank"))
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 top-n chunks per query, by joining postings.
+def keyword_search(queries: DataFrame, chunks: DataFrame, n: int, index: Postings | None = None) -> DataFrame:
+    """BM25 top-n chunks per query, by an inverted index in blocks (``plans/postings.py``).
 
-    Document frequencies are counted per distinct term, so only totals are shuffled. The
-    postings of a chunk are grouped by (term, chunk) and join the weighted query terms by
-    term; one hot term is a skewed join, which AQE splits. Scores are summed per (query, chunk).
+    Without an ``index`` one is made of ``chunks``, whose ``terms`` are used where they are there.
     """
-    q = queries.select("query_id", F.explode(F.array_distinct(fx.terms(F.col("text")))).alias("term"))
-    indexed = F.col("terms") if "terms" in chunks.columns else fx.terms(F.col("chunk_text"))
-    words = chunks.select("chunk_id", indexed.alias("w"))
-    s = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl")).select(F.struct("n", "avgdl")).scalar()
-    asked = q.select("term").distinct()
-    # a term counts once per chunk, so nothing but the totals is shuffled
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(
-        F.count("*").alias("df"))
-    idf = F.ln(1 + (s["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asks = q.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    postings = words.select("chunk_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(
-        asked, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / s["avgdl"]))
-    hits = postings.join(asks, "term").groupBy("query_id", "chunk_id").agg(fx.r6(F.sum(weight)).alias("bm25"))
-    return top_per_key(hits, ["query_id"], [F.col("bm25").desc(), F.col("chunk_id")], n, rank="keyword_rank")
+    return postings.search(index or keyword_index(chunks), queries, n)
+
+
+def keyword_index(chunks: DataFrame, write=lambda df: df) -> Postings:
+    """The inverted index of ``chunks``; ``write`` keeps it as a table."""
+    words = F.col("terms") if "terms" in chunks.columns else fx.terms(F.col("chunk_text"))
+    return postings.build(chunks.select("chunk_id", words.alias("w")), write=write)
 
 
 def rrf(vector_hits: DataFrame, keyword_hits: DataFrame, c: int = 60) -> DataFrame:
@@ -143,13 +142,17 @@ def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame, as_of: str,
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, as_of: str, k: int = 5, n: int = 20,
-             collections: Sequence[str] = (), since: str | None = None) -> DataFrame:
+             collections: Sequence[str] = (), since: str | None = None,
+             vectors: Cells | None = None, words: Postings | None = None) -> DataFrame:
     """Metadata filter, vector and keyword search, fusion, re-ranking, top-k with citation fields.
 
+    ``vectors`` and ``words`` are written indexes of all ``chunks``; a search in a part of them makes its own.
     A query without any hit has no row, which is a valid answer.
     """
     pool = filter_metadata(chunks, collections, since=since)
-    fused = rrf(vector_search(queries, pool, n), keyword_search(queries, pool, n))
+    if collections or since:
+        vectors = words = None
+    fused = rrf(vector_search(queries, pool, n, vectors), keyword_search(queries, pool, n, words))
     ranked = rerank(fused, pool, queries, as_of)
     return top_per_key(ranked, ["query_id"], [F.col("final_score").desc(), F.col("chunk_id")], k, rank="rank")
 

@@ -114,12 +114,13 @@ def typed_aggregate(values: DataFrame, edges: DataFrame, col: str, types: Sequen
         fx.r6(F.avg(F.when(F.col("edge_type") == t, F.col("_x")))).alias(f"mean_{t.lower()}") for t in types])
 
 
-def propagate_risk(base: DataFrame, edges: DataFrame, hops: int, damping: float) -> DataFrame:
+def propagate_risk(base: DataFrame, edges: DataFrame, hops: int, damping: float, digits: int | None = 9) -> DataFrame:
     """Risk spreading along edges for a fixed number of hops.
 
     score' = (1 - damping) * own base + damping * mean of the in-neighbours;
     nodes without in-neighbours keep their base. ``base`` holds (node_type,
-    node_id, risk) for every node. Lineage is cut after every second hop.
+    node_id, risk) for every node. Lineage is cut after every second hop. Scores are
+    rounded to ``digits``, if given.
     """
     current = base.select(*NODE, F.col("risk").alias("score"))
     e = edges.select("src_type", "src", "dst_type", "dst")
@@ -132,4 +133,4 @@ def propagate_risk(base: DataFrame, edges: DataFrame, hops: int, damping: float)
                 F.col("risk") * F.lit(1 - damping) + F.col("_m") * F.lit(damping)).alias("score"))
         if hop % 2 == 0 and hop < hops:
             current = cut(current)
-    return current.withColumn("score", F.round("score", 9))
+    return current if digits is None else current.withColumn("score", F.round("score", digits))

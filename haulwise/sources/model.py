@@ -65,6 +65,18 @@ class Model:
         reads it several times, and column by column."""
         return self.written(self.chunks.withColumn("terms", fx.terms(F.col("chunk_text"))), "chunks")
 
+    @cached_property
+    def postings(self):
+        """Inverted index of the evidence chunks, written in blocks."""
+        from ..operators.evidence import keyword_index
+        return keyword_index(self.index, lambda df: self.written(df, "postings"))
+
+    @cached_property
+    def cells(self):
+        """Vector index of the evidence chunks, written by cell."""
+        from ..operators.evidence import vector_index
+        return vector_index(self.index)
+
     @property
     def as_of(self) -> Column:
         """Snapshot date: the newest ship date, as a scalar subquery."""

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -376,3 +377,129 @@ def test_page_rejects_bad_numbers(spark):
     assert [r.id for r in page(df, [F.col("id")], 3, 20).collect()] == [40, 41, 42, 43, 44]
     with pytest.raises(ValueError):
         page(df, [F.col("id")], 0)
+
+
+# -- indexes, scenarios, nested limits ------------------------------------------------------------
+
+def _units(rnd, n, groups):
+    import numpy as np
+    rng = np.random.default_rng(rnd)
+    middle = rng.standard_normal((groups, 16))
+    v = middle[rng.integers(0, groups, n)] + rng.standard_normal((n, 16)) * 0.15
+    v[: n // 3] = v[0]  # a hot vector
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def test_cells_are_exact_when_certified_and_few_when_vectors_gather(spark):
+    import numpy as np
+    from haulwise.plans import cells
+    v = _units(4, 900, 40)
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(900)], "item_id bigint, vec array<double>")
+    asked = rows.select(F.col("item_id").alias("query_id"), "vec")
+    index = cells.build(rows, cells=60)
+    sim = np.round(v @ v.T, 6)
+    np.fill_diagonal(sim, -9)
+    want = {i: sorted(range(900), key=lambda j: (-sim[i, j], j))[:5] for i in range(900)}
+    got = defaultdict(list)
+    for r in sorted(cells.search(index, asked, 5, exclude_self=True).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.item_id, r.similarity))
+    assert all([s for _, s in got[i]] == [sim[i, j] for j in want[i]] for i in want)
+    spread = rows.filter("item_id >= 300")
+    index, asked = cells.build(spread, cells=60), asked.filter("query_id >= 300")
+    probes = cells.probes_for(index, 5, 0.9)
+    row = cells.cost(index, asked, probes).first()
+    near = {(r.query_id, r.item_id) for r in cells.search(index, asked, 5, exclude_self=True, probes=probes).collect()}
+    true = {(r.query_id, r.item_id) for r in cells.search(index, asked, 5, exclude_self=True).collect()}
+    assert row.share < 0.2 and len(near & true) >= 0.9 * len(true)
+
+
+def test_cells_of_odd_tables(spark):
+    from haulwise.plans import cells
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "item_id bigint, vec array<double>")
+    asked = rows.select(F.col("item_id").alias("query_id"), "vec")
+    assert [tuple(r) for r in cells.search(cells.build(rows), asked, 3).collect()] == [(1, 1, 1.0, 1)]
+    none = cells.build(rows.limit(0))
+    assert cells.search(none, asked, 3).count() == 0 and cells.search(cells.build(rows), asked.limit(0), 3).count() == 0
+
+
+def test_keyword_index_skips_and_stays_exact(spark, monkeypatch):
+    """A word in every chunk is spread over shards; the answer equals the sum over all matches."""
+    from haulwise.plans import postings
+    monkeypatch.setattr(postings, "SHARD", 50)
+    rnd = random.Random(8)
+    word = lambda: f"r{rnd.randrange(400)}" if rnd.random() < 0.4 else f"c{int(rnd.expovariate(1))}"
+    chunks = spark.createDataFrame([(i, "hot " + " ".join(word() for _ in range(rnd.randrange(5, 60)))) for i in range(600)], "chunk_id bigint, chunk_text string")
+    asked = spark.createDataFrame([(i, "hot " + " ".join(word() for _ in range(12))) for i in range(12)] + [(99, "unknown"), (100, "")], "query_id bigint, text string")
+    index = ev.keyword_index(chunks)
+    assert index.blocks.filter("term = 'hot'").agg(F.max("n")).first()[0] < 100
+    full = postings._opened(index, postings._asks(index, asked)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25"))
+    want = defaultdict(list)
+    for r in full.collect():
+        want[r.query_id].append((-r.bm25, r.chunk_id))
+    got = defaultdict(list)
+    for r in sorted(ev.keyword_search(asked, chunks, 5, index).collect(), key=lambda r: r.keyword_rank):
+        got[r.query_id].append((-r.bm25, r.chunk_id))
+    assert got == {q: sorted(rows)[:5] for q, rows in want.items()}
+    row = postings.cost(index, asked, 5).first()
+    assert row.pairs_scored < 0.5 * row.pairs_that_share
+    assert ev.keyword_search(asked, chunks.limit(0), 5).count() == 0
+
+
+def test_scenario_spreads_like_two_whole_runs(spark):
+    from haulwise.operators import scenario as sc, traversal as tv
+    rnd = random.Random(2)
+    edges = {(rnd.randrange(12), 12 + rnd.randrange(12)) for _ in range(40)} | {(12 + rnd.randrange(12), 24 + rnd.randrange(6)) for _ in range(30)} | {(25, 13)}
+    kind = lambda i: "supplier" if i < 12 else "product" if i < 24 else "order"
+    base = spark.createDataFrame([(kind(i), str(i), rnd.random()) for i in range(30)], "node_type string, node_id string, risk double")
+    flow = spark.createDataFrame([(kind(a), str(a), kind(b), str(b)) for a, b in edges], "src_type string, src string, dst_type string, dst string")
+    own = {r.node_id: r.risk for r in base.collect()}
+    delta = {"0": 0.4, "5": -0.2, "14": 0.1, "25": 0.3}
+    changed = spark.createDataFrame([(kind(int(i)), i, d) for i, d in delta.items()], "node_type string, node_id string, delta double")
+    after = base.join(changed, ["node_type", "node_id"], "left").select("node_type", "node_id", (F.col("risk") + F.coalesce("delta", F.lit(0.0))).alias("risk"))
+    for hops in (1, 3, 4):
+        runs = [{r.node_id: r.score for r in tv.propagate_risk(b, flow, hops, 0.7, digits=None).collect()} for b in (base, after)]
+        got = {r.node_id: r.delta for r in sc.spread_change(changed, flow, hops, 0.7).collect()}
+        assert all(abs(runs[1][i] - runs[0][i] - got.get(i, 0.0)) < 1e-9 for i in own)
+
+
+def test_scenario_overrides_are_checked_first(spark):
+    from haulwise.operators import scenario as sc
+    nodes = spark.createDataFrame([("supplier", str(i), 0.2, 0.8, 10.0) for i in range(5)],
+                                  "node_type string, node_id string, risk double, reliability double, lead_time_days double")
+    over = spark.createDataFrame([("supplier", "0", "reliability", 0.5), ("supplier", "1", "lead_time_days", -1.0), ("supplier", "1", "reliability", 0.1),
+                                  ("supplier", "2", "lead_time_days", 55.0), ("supplier", "3", "own_risk", float("nan")), ("supplier", "9", "own_risk", 0.5),
+                                  ("supplier", "4", "own_risk", None)], "node_type string, node_id string, feature string, value double")
+    usable, bad = sc.check_features(over, nodes)
+    assert {(r.node_id, r.reason) for r in bad.collect()} == {("1", "out of range"), ("3", "out of range"), ("9", "unknown node"), ("4", "out of range")}
+    assert {(r.node_id, r.simulated) for r in sc.changed_risk(nodes, usable).collect()} == {("0", 0.5), ("2", 0.7)}
+
+
+def test_nested_allocation_is_optimal(spark):
+    """Against all integer grants, with stock per cell and a limit per product."""
+    import itertools
+    rnd = random.Random(11)
+    lines, limits = [], []
+    for p in range(8):
+        whole = rnd.randrange(0, 9)
+        for w in range(2):
+            limits.append((p, w, rnd.randrange(0, 6), rnd.randrange(0, 7), float(whole), 100, 10))
+            for o in range(3):
+                lines.append((p * 100 + w * 10 + o, p, w, rnd.randrange(1, 5), round(rnd.uniform(1, 5), 3), D(2024, 1, 1), rnd.choice([7, 20, 30])))
+    ldf = spark.createDataFrame(lines, "order_id int, product_id int, warehouse_id int, quantity int, customer_value double, placed_at date, sla_days int")
+    cdf = spark.createDataFrame(limits, "product_id int, warehouse_id int, inventory int, warehouse_capacity int, supplier_capacity double, production_capacity int, lead_time_days int")
+    allocated = dc.allocate_nested(dc.fifo_fallback(ldf), cdf)
+    got = {r.order_id: (r.granted, r.reason) for r in allocated.collect()}
+    totals = {r.product_id: r.objective_value for r in dc.allocation_result(allocated).collect()}
+    for p in range(8):
+        mine = [x for x in lines if x[1] == p]
+        caps = {w: min(a, b) for q, w, a, b, *_ in limits if q == p}
+        whole = next(int(x[4]) for x in limits if x[0] == p)
+        best = 0.0
+        for take in itertools.product(*[range(x[3] + 1 if x[6] >= 10 else 1) for x in mine]):
+            if sum(take) <= whole and all(sum(t for t, x in zip(take, mine) if x[2] == w) <= caps[w] for w in caps):
+                best = max(best, sum(t * x[4] for t, x in zip(take, mine)))
+        assert abs(best - sum(got[x[0]][0] * x[4] for x in mine)) < 1e-6 and abs(best - totals[p]) < 1e-5
+    assert all(got[x[0]] == (0, "lead time exceeds the agreed days") for x in lines if x[6] < 10)
+    unknown = dc.allocate_nested(dc.fifo_fallback(ldf), cdf.filter("warehouse_id = 0"))
+    row = dc.allocation_result(unknown).first()
+    assert not row.optimal and row.granted is None and row.objective_value is None and row.reason == "no inventory"
