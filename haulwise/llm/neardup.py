@@ -2,7 +2,7 @@
 
 A document's set holds its distinct shingles of ``k`` words (a shorter text is one
 shingle; a text without words has none and is linked with nothing). Texts of equal
-sets form a class with its smallest doc_id as representative. Representatives get
+sets are one node, named by a hash of the set. Nodes get
 ``BANDS * ROWS`` minima of universal hashes; two that agree on a whole band share a
 bucket. At a similarity of 0.8 a pair shares no bucket with probability
 (1 - 0.8 ** ROWS) ** BANDS = 5e-9. In a bucket only pairs of different components are
@@ -12,8 +12,9 @@ buckets inside tasks over blocks of members. A pair must agree on enough minima
 is confirmed on the full sets. Components come from
 alternating large-star and small-star.
 
-Defined results: rows that share a doc_id are one node; a null doc_id is linked with
-nothing, has a null component and is kept. Other columns are not read.
+Defined results: rows that share a doc_id are one document, whose texts are tied together and
+linked by each of them; a null doc_id is linked with nothing, has a null component and is kept; so is a
+text without words, whatever other texts its document has. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -85,17 +86,18 @@ def _sketch(k: int):
         a, b = _coefficients()
         band = np.arange(BANDS, dtype=np.uint64)
         for batch in slices(batches):
-            n, prints, signs, bands = [], [], [], []
+            n, prints, nodes, signs, bands = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 n.append(len(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                nodes.append(int.from_bytes(prints[-1][:8], "little", signed=True))
                 m = minima(s, a, b)
                 signs.append(m.tobytes())
                 key = band.copy()
                 for row in m.reshape(BANDS, ROWS).T:
                     key = join2(key, row.astype(np.uint64))
                 bands.append(key.view(np.int64))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(prints, pa.binary()),
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "fp": pa.array(prints, pa.binary()), "node": pa.array(nodes, pa.int64()),
                                    "sign": pa.array(signs, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
     return work
 
@@ -103,8 +105,9 @@ def _sketch(k: int):
 def _sets(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column("text"), k)]
-            yield pa.record_batch({"doc": batch.column("doc_id"), "shingles": pa.array(sets, pa.list_(pa.int64()))})
+            sets = shingle_sets(batch.column("text"), k)
+            nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True) for s in sets]
+            yield pa.record_batch({"doc": pa.array(nodes, pa.int64()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
     return work
 
 
@@ -187,20 +190,25 @@ def duplicate_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     kind = docs.schema["doc_id"].dataType
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = staged(docs.mapInArrow(_sketch(k), "doc_id long, n long, fp binary, sign binary, bands array<long>"), "sketches")
+    sketch = staged(docs.mapInArrow(_sketch(k), "doc_id long, n long, fp binary, node long, sign binary, bands array<long>"), "sketches")
     some = sketch.filter("n > 0 and doc_id is not null")
-    classes = some.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.withColumnRenamed("fp", "f"), (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("f")))
-    buckets = reps.select(F.col("rep").alias("doc"), F.posexplode("bands").alias("band", "key"))
+    # a node is a set; its smallest doc_id stands for the texts that share it
+    classes = some.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    reps = some.join(classes.withColumnRenamed("node", "f"), (F.col("doc_id") == F.col("rep")) & (F.col("node") == F.col("f")))
+    buckets = reps.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = staged(buckets.join(crowded, "key").select("key", "band", "doc"), "buckets")
     wanted = members.select("doc").distinct()
-    signs = staged(reps.join(wanted, F.col("rep") == F.col("doc"), "left_semi")
-                    .groupBy(F.col("rep").alias("doc")).agg(F.first("n").alias("n"), F.first("sign").alias("sign")), "signs")
-    sets = staged(docs.join(wanted, docs["doc_id"] == wanted["doc"], "left_semi")
+    asked = reps.join(wanted, F.col("node") == F.col("doc"), "left_semi")
+    signs = staged(asked.groupBy(F.col("node").alias("doc")).agg(F.first("n").alias("n"), F.first("sign").alias("sign")), "signs")
+    # a document of several texts brings all of them
+    sets = staged(docs.join(asked.select(F.col("doc_id").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi")
                    .mapInArrow(_sets(k), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
     tested = docs.sparkSession.createDataFrame([], "a long, b long")
-    roots = components(tested)
+    # texts of one document belong together from the start
+    several = some.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    tied = some.join(several, "doc_id").filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    roots = components(tied)
 
     def grown(found: DataFrame) -> DataFrame:
         return components(roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
@@ -219,9 +227,11 @@ def duplicate_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     found = _verified(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), signs, sets, percent)
     blocks = _by_blocks(apart.filter(F.col("size") > SMALL_BUCKET), roots, signs, sets, percent)
     roots = grown(staged(found.unionByName(blocks), "links"))
-    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component"))
+    named = classes.join(roots.withColumnRenamed("node", "n_"), classes["node"] == F.col("n_"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
+    named = named.join(smallest, "root").select("node", "component")
     lone = sketch.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
-    grouped = some.select("doc_id", "n", "fp").join(named, "fp").select("doc_id", "n", "component")
+    grouped = some.select("doc_id", "n", "node").join(named, "node").select("doc_id", "n", "component")
     return grouped.unionByName(lone).select(
         F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"),
         F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
