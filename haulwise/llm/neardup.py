@@ -39,6 +39,8 @@ AGREE = 0.8 - 5 * (0.8 * 0.2 / (ROWS * BANDS)) ** 0.5
 FIRST_BANDS = 3
 SMALL_BUCKET = 32
 BLOCK = 256
+# Bytes of text whose shingles a task holds at a time (or one longer text).
+HELD_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -85,7 +87,7 @@ def _sketch(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _coefficients()
         band = np.arange(BANDS, dtype=np.uint64)
-        for batch in slices(batches):
+        for batch in slices(batches, budget=HELD_BYTES):
             n, prints, nodes, signs, bands = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 n.append(len(s))
@@ -104,7 +106,7 @@ def _sketch(k: int):
 
 def _sets(k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, budget=HELD_BYTES):
             sets = shingle_sets(batch.column("text"), k)
             nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True) for s in sets]
             yield pa.record_batch({"doc": pa.array(nodes, pa.int64()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
