@@ -106,6 +106,18 @@ def register(cat) -> None:
           CASE WHEN created_at > DATE '2001-06-30' THEN 'insert' ELSE 'update' END operation FROM shipments
         WHERE ship_date > DATE '2001-06-30' OR created_at > DATE '2001-06-30'
         UNION ALL SELECT 'orders', order_id, 'insert' FROM ord WHERE placed_at > DATE '2001-06-30'"""))
+    def two_states(m):
+        """Before: a seventh of the rows is not there and a fifth has other values; after: an eleventh is gone."""
+        frames = {"orders": (m.orders, "order_id", "order_value"), "customers": (m.customers, "customer_id", "acct_balance"),
+                  "suppliers": (m.raw("supplier"), "s_suppkey", "s_acctbal"), "components": (m.raw("part"), "p_partkey", "p_retailprice"),
+                  "documents": (m.raw("documents"), "doc_id", "source")}
+        state = lambda df, k, v: (df.filter(F.col(k) % 7 != 0).withColumn(v, F.when(F.col(k) % 5 != 0, F.col(v))), df.filter(F.col(k) % 11 != 0), k)
+        return {name: state(*f) for name, f in frames.items()}
+    cat.add("snapshot_changes", lambda m: tables.snapshot_changes(two_states(m)), " UNION ALL ".join(f"""
+        SELECT '{name}' table_name, CAST({k} AS VARCHAR) row_id, CASE WHEN {k} % 7 = 0 THEN 'insert' WHEN {k} % 11 = 0 THEN 'delete' ELSE 'update' END operation
+        FROM {t} WHERE ({k} % 7 = 0) <> ({k} % 11 = 0) OR ({k} % 5 = 0 AND {k} % 7 <> 0 AND {k} % 11 <> 0 AND {v} IS NOT NULL)""" for name, t, k, v in (
+        ("orders", "orders", "o_orderkey", "o_totalprice"), ("customers", "customer", "c_custkey", "c_acctbal"), ("suppliers", "supplier", "s_suppkey", "s_acctbal"),
+        ("components", "part", "p_partkey", "p_retailprice"), ("documents", "documents", "doc_id", "source"))))
     cat.add("page", lambda m: tables.page(m.orders, [F.col("order_value").desc(), F.col("order_id")], 2, 20), ora("""
         SELECT *, 2 page, 20 page_size, (SELECT count(*) FROM ord) total FROM ord
         ORDER BY order_value DESC, order_id LIMIT 20 OFFSET 20"""))

@@ -198,6 +198,15 @@ def register(cat) -> None:
         retrieved(m), questions(m), m.raw("labels").filter("quality = 1")), esql("""
         SELECT count(*) n_queries, round(avg(CASE WHEN query_id IN (SELECT query_id FROM retrieved WHERE doc_id IN
           (SELECT doc_id FROM labels WHERE quality = 1)) THEN 1.0 ELSE 0.0 END), 6) relevance FROM questions"""))
+    def judged(m):
+        """A document is judged for the questions of its own supplier."""
+        good = m.raw("labels").filter("quality = 1").select("doc_id")
+        n = m.raw("supplier").agg(F.count("*").alias("n")).scalar()
+        return good.withColumn("supplier_id", F.col("doc_id") % n).join(questions(m).select("query_id", "supplier_id"), "supplier_id").select("query_id", "doc_id")
+    cat.add("retrieval_relevance_judged", lambda m: ev.retrieval_relevance(retrieved(m), questions(m), judged(m)), esql("""
+        SELECT count(*) n_queries, round(avg(CASE WHEN query_id IN (SELECT r.query_id FROM retrieved r JOIN questions q ON q.query_id = r.query_id
+          JOIN labels l ON l.doc_id = r.doc_id AND l.quality = 1 WHERE r.doc_id % (SELECT count(*) FROM supplier) = q.supplier_id)
+          THEN 1.0 ELSE 0.0 END), 6) relevance FROM questions"""))
     cat.add("evidence_bundle", bundle)
     cat.add("evidence_bundle_citations", lambda m: bundle(m).select(
         "supplier_id", "grounded", F.size("top_factors").alias("n_factors"), F.explode_outer("citations").alias("c")).select(

@@ -35,10 +35,11 @@ def extract_fields(docs: DataFrame, text: str) -> DataFrame:
 
 
 def parse_status(extracted: DataFrame) -> DataFrame:
-    """parsed when all three fields are present, failed otherwise, with the missing fields."""
+    """pending until the document has a text, parsed when all three fields are present, else failed, with the missing fields."""
+    waiting = F.col("text").isNull() if "text" in extracted.columns else F.lit(False)
     missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in FIELD_PATTERNS])
     return extracted.withColumn("missing_fields", missing).withColumn(
-        "parse_status", F.when(missing == "", "parsed").otherwise("failed"))
+        "parse_status", F.when(waiting, "pending").when(missing == "", "parsed").otherwise("failed"))
 
 
 def chunk(docs: DataFrame, key: str, text: str, size: int = 400, overlap: int = 50) -> DataFrame:
@@ -174,8 +175,12 @@ def isolate_failures(docs: DataFrame, parsed: Column, name: str) -> tuple[DataFr
 
 
 def retrieval_relevance(results: DataFrame, queries: DataFrame, judged: DataFrame) -> DataFrame:
-    """Share of queries with at least one relevant document among their hits."""
-    hit = results.join(judged.select("doc_id").distinct(), "doc_id", "left_semi").select("query_id").distinct().withColumn("_h", F.lit(1))
+    """Share of queries with at least one relevant document among their hits.
+
+    ``judged`` holds (query_id, doc_id); without a query_id its documents are relevant to every query.
+    """
+    keys = [c for c in ("query_id", "doc_id") if c in judged.columns]
+    hit = results.join(judged.select(*keys).distinct(), keys, "left_semi").select("query_id").distinct().withColumn("_h", F.lit(1))
     return queries.select("query_id").join(hit, "query_id", "left").agg(
         F.count("*").alias("n_queries"), fx.r6(F.avg(F.coalesce("_h", F.lit(0)))).alias("relevance"))
 

@@ -74,6 +74,30 @@ def changed_since(frames: dict[str, tuple[DataFrame, str, str, str]], last_run)
     return out
 
 
+def row_digest(df: DataFrame) -> Column:
+    """Digest of a whole row; a null differs from any value and from a null elsewhere."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+
+
+def snapshot_changes(frames: dict[str, tuple[DataFrame, DataFrame, str]]) -> DataFrame:
+    """Inserts, updates and deletes between two states of tables, as (table_name, row_id, operation).
+
+    ``frames`` maps a table name to (before, after, id column). Both states are reduced to digests and meet in one
+    shuffle by id; of several rows with one id the smallest digest stands.
+    """
+    out = None
+    for name, states in frames.items():
+        *both, key = states
+        for side, df in enumerate(both):
+            digest = row_digest(df)
+            part = df.select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("row_id"),
+                             *[(digest if i == side else F.lit(None).cast("string")).alias(c) for i, c in enumerate(("old", "new"))])
+            out = part if out is None else out.unionByName(part)
+    met = out.groupBy("table_name", "row_id").agg(F.min("old").alias("old"), F.min("new").alias("new"))
+    operation = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").when(F.col("old") != F.col("new"), "update")
+    return met.select("table_name", "row_id", operation.alias("operation")).filter(F.col("operation").isNotNull())
+
+
 def page(df: DataFrame, order: list[Column], page_no: int, page_size: int = 20) -> DataFrame:
     """One page of rows with ``page``, ``page_size`` and ``total`` columns.
 

@@ -503,3 +503,18 @@ def test_nested_allocation_is_optimal(spark):
     unknown = dc.allocate_nested(dc.fifo_fallback(ldf), cdf.filter("warehouse_id = 0"))
     row = dc.allocation_result(unknown).first()
     assert not row.optimal and row.granted is None and row.objective_value is None and row.reason == "no inventory"
+
+
+def test_snapshot_changes(spark):
+    from haulwise.sources import tables
+    schema = "k bigint, a string, b string"
+    old = spark.createDataFrame([(1, "x", None), (2, "x", "y"), (3, None, "z"), (4, "q", "q")], schema)
+    new = spark.createDataFrame([(1, "x", None), (2, "x", "Y"), (3, "z", None), (5, "n", "n")], schema).select("b", "k", "a")
+    got = {(r.row_id, r.operation) for r in tables.snapshot_changes({"t": (old, new, "k")}).collect()}
+    assert got == {("2", "update"), ("3", "update"), ("4", "delete"), ("5", "insert")}
+    assert tables.snapshot_changes({"t": (old.limit(0), new.limit(0), "k")}).count() == 0
+
+
+def test_documents_without_a_text_are_pending(spark):
+    docs = spark.createDataFrame([(1, None), (2, "Supplier#1 total 5 date 2024-01-02"), (3, "nothing")], "id int, text string")
+    assert {r.id: r.parse_status for r in ev.parse_status(ev.extract_fields(docs, "text")).collect()} == {1: "pending", 2: "parsed", 3: "failed"}
