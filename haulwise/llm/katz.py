@@ -122,6 +122,16 @@ def _long(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one of them needs it."""
+    return counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<i8").tobytes()
+
+
+def _pair_counts(pc: bytes, ph: bytes) -> np.ndarray:
+    """Counts of as many pairs as there are histories."""
+    return np.frombuffer(pc, "<u4" if len(pc) // 4 <= len(ph) // 6 else "<i8").astype(np.int64)
+
+
 def _runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin."""
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
@@ -201,7 +211,7 @@ def _count(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         w, h = w[runs], h[runs]
         runs = _runs(w)
         out = {"word": word.tobytes(), "n": n.astype("<i8").tobytes(), "pw": w[runs].tobytes(),
-               "pn": np.diff(np.append(runs, len(w))).astype("<u4").tobytes(), "ph": _short(h), "pc": c.astype("<u4").tobytes()}
+               "pn": np.diff(np.append(runs, len(w))).astype("<u4").tobytes(), "ph": _short(h), "pc": _packed(c)}
         return pa.table({"bucket": table.column("bucket").slice(0, 1), **{k: pa.array([v], pa.binary()) for k, v in out.items()}})
     kinds = "bucket int, word binary, n binary, pw binary, pn binary, ph binary, pc binary"
     return docs.select("text").mapInArrow(chunk, kinds).groupBy("bucket").applyInArrow(merge, kinds)
@@ -213,7 +223,7 @@ class Bucket:
     def __init__(self, row: dict, model: Model) -> None:
         self.word, self.n = np.frombuffer(row["word"], "<u8"), np.frombuffer(row["n"], "<i8")
         self.pw = np.repeat(np.frombuffer(row["pw"], "<u8"), np.frombuffer(row["pn"], "<u4"))
-        self.ph, self.pc, self.model = _long(row["ph"]), np.frombuffer(row["pc"], "<u4").astype(np.int64), model
+        self.ph, self.pc, self.model = _long(row["ph"]), _pair_counts(row["pc"], row["ph"]), model
 
     def count(self, word: np.ndarray) -> np.ndarray:
         at, found = _lookup(self.word, word)
@@ -230,7 +240,7 @@ def _totals(counts: DataFrame, hot: np.ndarray) -> list:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                word, n, c = np.frombuffer(row["word"], "<u8"), np.frombuffer(row["n"], "<i8"), np.frombuffer(row["pc"], "<u4")
+                word, n, c = np.frombuffer(row["word"], "<u8"), np.frombuffer(row["n"], "<i8"), _pair_counts(row["pc"], row["ph"])
                 out = [(0, 0, int(n.sum())), (0, 1, len(n))]
                 for kind, x in ((1, n), (2, c)):
                     r, times = np.unique(x[x <= FITTED], return_counts=True)
@@ -238,7 +248,7 @@ def _totals(counts: DataFrame, hot: np.ndarray) -> list:
                 at, found = _lookup(word, hot)
                 out += [(3, int(w), int(n[i])) for w, i in zip(hot[found].view(np.int64), at[found])]
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out)], ["kind", "key", "n"])
-    return counts.select("word", "n", "pc").mapInArrow(work, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
+    return counts.select("word", "n", "ph", "pc").mapInArrow(work, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
 
 
 def _freed(counts: DataFrame, model: Model) -> DataFrame:

@@ -1,7 +1,10 @@
 """Quality rules: a linear-chain conditional random field labels lines content or boilerplate.
 
 Each text is a sequence of its lines that hold a word. ``fit`` trains the field on
-labelled documents (every line takes its document's label); Viterbi decoding gives
+labelled documents. The labels of their lines are latent: they start as their
+document's, a first field without a chain tells what single lines look like, and each
+round takes the likelier label of every line, as far as the document's share of content
+still agrees with its label, and trains the chain on these. Viterbi decoding gives
 the best label sequence of a text, and the share of its words that stand in content
 lines decides whether it is retained. Three counts of the whole text come first:
 texts of fewer than ``MIN_WORDS`` words, or with more than ``MAX_REPEAT`` per cent
@@ -30,6 +33,8 @@ MIN_CONTENT = 0.5
 # The field is fitted on at most so many labelled documents, of at most so many lines each.
 TRAIN_DOCS = 2000
 TRAIN_LINES = 400
+# Rounds of line labels, chain included.
+ROUNDS = 3
 
 SYMBOLS = b"#*$%&|<>"
 N_FEATURES = 14
@@ -151,8 +156,8 @@ def viterbi(field: Field, lines: Lines) -> np.ndarray:
     return out
 
 
-def _likelihood(field: Field, lines: Lines, truth: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood of the labels and its gradients, by the forward-backward recursion."""
+def _likelihood(field: Field, lines: Lines, truth: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood of the labels, its gradients and the lines' probability of content, by the forward-backward recursion."""
     order, active = _by_step(lines.first)
     begin = lines.first[order]
     gain = np.zeros((len(truth), 2))
@@ -178,22 +183,46 @@ def _likelihood(field: Field, lines: Lines, truth: np.ndarray) -> tuple[float, n
     seen = np.zeros((2, 2))
     np.add.at(seen, (truth[nxt - 1], truth[nxt]), 1)
     value = gain[np.arange(len(truth)), truth].sum() + (seen * field.move).sum() - z_doc.sum()
-    return value, lines.features.T @ ((truth == CONTENT) - p[:, CONTENT]), seen - edge.sum(axis=0)
+    return value, lines.features.T @ ((truth == CONTENT) - p[:, CONTENT]), seen - edge.sum(axis=0), p[:, CONTENT]
 
 
-def fit_field(lines: Lines, truth: np.ndarray, rounds: int = 150, rate: float = 0.15, ridge: float = 1e-3) -> Field:
-    """Maximum likelihood with a ridge penalty, by adaptive-moment gradient steps."""
-    theta = np.zeros(N_FEATURES + 4)
+def fit_field(lines: Lines, truth: np.ndarray, begin: Field | None = None, rounds: int = 150, rate: float = 0.15, ridge: float = 3e-4) -> Field:
+    """Maximum likelihood with a ridge penalty, by adaptive-moment gradient steps from ``begin`` (or zero)."""
+    theta = np.concatenate([begin.unary, begin.move.ravel()]) if begin else np.zeros(N_FEATURES + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         field = Field(theta[:N_FEATURES], theta[N_FEATURES:].reshape(2, 2))
-        _, du, dm = _likelihood(field, lines, truth)
+        _, du, dm, _ = _likelihood(field, lines, truth)
         g = np.concatenate([du, dm.ravel()]) / len(truth) - ridge * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + rate * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.99 ** k)) + 1e-8)
     return Field(theta[:N_FEATURES].copy(), theta[N_FEATURES:].reshape(2, 2).copy())
 
 
+def agreeing(content: np.ndarray, lines: Lines, good: np.ndarray) -> np.ndarray:
+    """Likelier label of every line; where a text's share of content contradicts its label, its least certain lines change."""
+    label = (content >= 0.5).astype(np.int8)
+    for d in range(len(good)):
+        at = np.arange(lines.first[d], lines.first[d + 1])
+        words = lines.words[at]
+        order = at[np.argsort(-content[at] if good[d] else content[at], kind="stable")]
+        while len(at) and ((words @ label[at]) >= MIN_CONTENT * words.sum()) != good[d]:
+            label[order[label[order] != good[d]][0]] = good[d]
+    return label
+
+
+def learn_lines(lines: Lines, good: np.ndarray) -> tuple[Field, np.ndarray]:
+    """The field and the line labels that labelled texts (``good``: 0 or 1 per text) give."""
+    label = np.repeat(good, np.diff(lines.first)).astype(np.int8)
+    alone = lines._replace(first=np.arange(len(label) + 1))
+    field = fit_field(alone, label)
+    seen = alone
+    for _ in range(ROUNDS):
+        label = agreeing(_likelihood(field, seen, label)[3], lines, good)
+        field, seen = fit_field(lines, label, field, 80), lines
+    return field, label
+
+
 def _features_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         w = Words(batch.column("text"), lower=True)
@@ -202,6 +231,7 @@ def _features_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         keep = [r for r in rows if 0 < r[2] - r[1] <= TRAIN_LINES]
         yield pa.record_batch({
             "x": pa.array([lines.features[a:b].tobytes() for _, a, b in keep], pa.binary()),
+            "n": pa.array([lines.words[a:b].astype("<f8").tobytes() for _, a, b in keep], pa.binary()),
             "quality": batch.column("quality").take(pa.array([i for i, _, _ in keep], pa.int64())).cast(pa.int32())})
 
 
@@ -210,13 +240,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Field | None:
     known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     rows = (docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")
-            .mapInArrow(_features_out, "x binary, quality int").collect())
+            .mapInArrow(_features_out, "x binary, n binary, quality int").collect())
     if len({r.quality for r in rows}) < 2:
         return None
     blocks = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
     sizes = np.array([len(b) for b in blocks])
-    lines = Lines(np.concatenate(blocks), np.ones(sizes.sum()), np.concatenate([[0], np.cumsum(sizes)]))
-    return fit_field(lines, np.repeat([r.quality for r in rows], sizes))
+    words = np.concatenate([np.frombuffer(r.n, "<f8") for r in rows])
+    lines = Lines(np.concatenate(blocks), words, np.concatenate([[0], np.cumsum(sizes)]))
+    return learn_lines(lines, np.array([r.quality for r in rows], np.int8))[0]
 
 
 def _repeat_words(w: Words, hashes: np.ndarray) -> np.ndarray:
