@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from ..operators import features as ft, learning as ln, traversal as tv
 from .ctes import ora
-from .graphs import component_values, supplier_values
+from .graphs import component_values
 
 EXTRA = {
-    # probability = share of late deliveries of the supplier so far (all of them), label = delayed
+    # probability = share of late ones among the supplier's last deliveries before the shipment was created, label = delayed
     "scored_ships": """
-        SELECT s.shipment_id, s.supplier_id, s.created_at, CAST(s.status = 'delayed' AS INTEGER) label, round(1 - r.reliability, 4) p,
+        SELECT s.shipment_id, s.supplier_id, s.created_at, CAST(s.status = 'delayed' AS INTEGER) label, round(1 - coalesce(h.reliability, 0.5), 4) p,
           CASE WHEN s.created_at < DATE '1999-06-30' THEN 'train' WHEN s.created_at < DATE '2000-06-30' THEN 'validation' ELSE 'test' END split
-        FROM shipments s JOIN reliability_now r ON r.supplier_id = s.supplier_id WHERE s.delivered_at IS NOT NULL""",
+        FROM (SELECT * FROM shipments WHERE delivered_at IS NOT NULL) s ASOF LEFT JOIN (
+          SELECT supplier_id, delivered_at, reliability FROM (
+            SELECT supplier_id, delivered_at, round(avg(CASE WHEN delivered_at <= eta THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY supplier_id
+                ORDER BY delivered_at, shipment_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) reliability,
+              row_number() OVER (PARTITION BY supplier_id, delivered_at ORDER BY shipment_id DESC) rn
+            FROM shipments WHERE delivered_at IS NOT NULL) WHERE rn = 1) h
+        ON s.supplier_id = h.supplier_id AND s.created_at > h.delivered_at""",
 }
 CUTS = ("1999-06-30", "2000-06-30")
 
@@ -23,35 +29,49 @@ def lsql(sql: str) -> str:
     return ora(sql, EXTRA)
 
 
+def past_reliability(m, done):
+    """Per shipment of ``done`` its supplier's on-time rate when the shipment was created; 0.5 before the first delivery."""
+    hist = ft.reliability_history(m.shipments, 10)
+    # the last value of a day stands for the day
+    daily = hist.groupBy("supplier_id", "delivered_at").agg(F.max_by("reliability", "shipment_id").alias("reliability"))
+    past = ft.as_of_features(done, daily, "supplier_id", "created_at", "shipment_id", "delivered_at", "reliability")
+    return past.select("shipment_id", F.coalesce("reliability", F.lit(0.5)).alias("past_reliability"))
+
+
 def scored(m):
     done = m.shipments.filter(F.col("delivered_at").isNotNull())
-    df = done.join(ft.reliability_now(m.shipments), "supplier_id").select(
+    df = done.join(past_reliability(m, done), "shipment_id").select(
         "shipment_id", "supplier_id", "created_at", (F.col("status") == "delayed").cast("int").alias("label"),
-        F.round(1 - F.col("reliability"), 4).alias("p"))
+        F.round(1 - F.col("past_reliability"), 4).alias("p"))
     return ft.time_split(df, "created_at", *[F.lit(c).cast("date") for c in CUTS])
 
 
 def training_frame(m):
-    """Delivered shipments with leak-free features known when they were created."""
+    """Delivered shipments with features known when they were created; the scaling is fitted on the training period."""
     done = ft.label_delayed(m.shipments.filter(F.col("delivered_at").isNotNull()))
-    hist = ft.reliability_history(m.shipments, 10)
-    daily = hist.groupBy("supplier_id", "delivered_at").agg(F.max_by("reliability", "shipment_id").alias("reliability"))
-    past = ft.as_of_features(done, daily, "supplier_id", "created_at", "shipment_id", "delivered_at", "reliability")
-    orders = ft.minmax_scale(m.orders.select("order_id", "order_value", "priority"), "order_value")
     df = done.select("shipment_id", "supplier_id", "order_id", F.col("is_delayed").cast("int").alias("label"), "created_at").join(
-        past.select("shipment_id", F.coalesce("reliability", F.lit(0.5)).alias("past_reliability")), "shipment_id").join(orders, "order_id")
+        past_reliability(m, done), "shipment_id").join(m.orders.select("order_id", "order_value", "priority"), "order_id")
     df = df.withColumns({"urgency": F.substring("priority", 1, 1).cast("double"), "month": F.month("created_at").cast("double")})
-    return ft.time_split(df, "created_at", *[F.lit(c).cast("date") for c in CUTS])
+    df = ft.time_split(df, "created_at", *[F.lit(c).cast("date") for c in CUTS])
+    train = done.filter(F.col("created_at") < F.lit(CUTS[0]).cast("date")).join(m.orders.select("order_id", "order_value"), "order_id")
+    b = train.agg(F.struct(F.min("order_value").alias("lo"), F.max("order_value").alias("hi")).alias("b")).scalar()
+    scaled = F.try_divide(F.col("order_value") - b["lo"], F.nullif(b["hi"] - b["lo"], F.lit(0)))
+    return df.withColumn("order_value_scaled", F.coalesce(scaled, F.lit(0)).cast("double"))
 
 
 FEATURES = ["past_reliability", "order_value_scaled", "urgency", "month"]
 
 
 def stages(m):
-    """Supplier features from the three aggregation stages, joined to the training rows."""
+    """Supplier features from the three aggregation stages, joined to the training rows.
+
+    What a supplier is known for is taken from deliveries of the training period only.
+    """
     base = training_frame(m).select("shipment_id", "supplier_id", "label", "split", "past_reliability")
     edges = m.supplier_components.select(F.col("component_id").cast("string").alias("src"), F.col("supplier_id").cast("string").alias("dst"))
-    comp, sup = component_values(m), supplier_values(m)
+    early = ft.reliability_now(m.shipments.filter(F.col("delivered_at") < F.lit(CUTS[0]).cast("date")))
+    comp, sup = component_values(m), m.suppliers.select("supplier_id").join(early, "supplier_id", "left").select(
+        F.col("supplier_id").cast("string").alias("node_id"), F.coalesce("reliability", F.lit(0.5)).alias("reliability"))
     uniform = tv.mean_aggregate(comp, edges, ["reliability"]).select("node_id", F.col("mean_reliability").alias("g1"))
     attention = tv.attention_aggregate(comp, sup, edges, ["reliability"]).select("node_id", F.col("att_reliability").alias("g1"))
     parts = m.components.select(F.col("component_id").cast("string").alias("node_id"), "component_type")

@@ -130,12 +130,16 @@ def ablate(stages: Mapping[str, DataFrame], features: Mapping[str, Sequence[str]
 
 def grid_search(df: DataFrame, features: Sequence[str], label: str, split: str,
                 grid: Sequence[tuple[float, float]]) -> DataFrame:
-    """Validation AUC for every (reg, elastic) setting, trained on the time-ordered train split."""
+    """Validation AUC for every (reg, elastic) setting, trained on the time-ordered train split.
+
+    The setting of the highest one (the first of equals) is marked and scored once on the test split.
+    """
     df = cut(df)
-    train, valid = df.filter(F.col(split) == "train"), df.filter(F.col(split) == "validation")
-    out = None
-    for reg, elastic in grid:
-        auc = roc_auc(batch_score(train_classifier(train, features, label, reg, elastic), valid), "p", label)
-        part = auc.select(F.lit(float(reg)).alias("reg"), F.lit(float(elastic)).alias("elastic"), "auc")
-        out = part if out is None else out.unionByName(part)
-    return out
+    train, valid, test = (df.filter(F.col(split) == part) for part in ("train", "validation", "test"))
+    auc = lambda fitted, rows: roc_auc(batch_score(fitted, rows), "p", label).first()["auc"]
+    models = [train_classifier(train, features, label, reg, elastic) for reg, elastic in grid]
+    found = [auc(fitted, valid) for fitted in models]
+    best = max(range(len(grid)), key=lambda i: -1.0 if found[i] is None else found[i])
+    rows = [(float(reg), float(elastic), found[i], i == best, auc(models[i], test) if i == best else None)
+            for i, (reg, elastic) in enumerate(grid)]
+    return df.sparkSession.createDataFrame(rows, "reg double, elastic double, auc double, is_best boolean, test_auc double")

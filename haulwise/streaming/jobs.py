@@ -42,8 +42,8 @@ def run_to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
 
 
-def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    (df.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+def run_batches(df: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+    (df.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
 
 
@@ -80,16 +80,17 @@ def stream_dedup_alerts(alerts: DataFrame, ts: str, delay: str) -> DataFrame:
 
 
 def tumbling_rates(events: DataFrame, who: str, ts: str, window: str, delay: str) -> DataFrame:
-    """Events per user and tumbling window, emitted when the window closes."""
+    """Events per user and tumbling window: in append mode when it closes, in update mode with every change."""
     return (with_event_time(events, ts, delay).groupBy(F.window(ts, window).alias("w"), who)
-            .agg(F.count("*").alias("n")).select(who, F.col("w.start").alias("window_start"), "n"))
+            .agg(F.count("*").alias("n"), F.max(ts).alias("newest"))
+            .select(who, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "newest"))
 
 
 def sliding_demand(events: DataFrame, key: str, value: str, ts: str, size: str, slide: str, delay: str) -> DataFrame:
     """Volume per key over a moving window."""
     return (with_event_time(events, ts, delay).groupBy(F.window(ts, size, slide).alias("w"), key)
-            .agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("volume"))
-            .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "volume"))
+            .agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("volume"), F.max(ts).alias("newest"))
+            .select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n", "volume", "newest"))
 
 
 def sessions(events: DataFrame, who: str, ts: str, gap: str, delay: str) -> DataFrame:
@@ -117,6 +118,19 @@ def current_rows(spark: SparkSession, path: str, keys: list[str], version: str)
     return latest_per_key(rows, keys, [F.col(version).desc(), F.col(BATCH).desc()]).drop(BATCH)
 
 
+def upsert_windows(windows: DataFrame, path: str, checkpoint: str) -> None:
+    """Store the windows that a batch changed, open ones too; a later batch's row replaces an earlier one."""
+    run_batches(windows, lambda batch, batch_id: _put(batch, path, batch_id), checkpoint, "update")
+
+
+def current_windows(spark: SparkSession, path: str, keys: list[str], delay: str) -> DataFrame:
+    """Newest state of every window; ``closed`` when no event in time can change it any more."""
+    rows = read_output(spark, path)
+    limit = rows.agg(F.max("newest").alias("t")).scalar() - F.expr(f"INTERVAL {delay}")
+    return latest_per_key(rows, [*keys, "window_start"], [F.col(BATCH).desc()]).withColumn(
+        "closed", F.col("window_end") <= limit).drop(BATCH, "newest")
+
+
 def _with_history(batch: DataFrame, keys: list[str], path: str, batch_id: int) -> DataFrame:
     """The batch and all earlier rows of the keys that it touches.
 
