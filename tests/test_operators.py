@@ -518,3 +518,30 @@ def test_snapshot_changes(spark):
 def test_documents_without_a_text_are_pending(spark):
     docs = spark.createDataFrame([(1, None), (2, "Supplier#1 total 5 date 2024-01-02"), (3, "nothing")], "id int, text string")
     assert {r.id: r.parse_status for r in ev.parse_status(ev.extract_fields(docs, "text")).collect()} == {1: "pending", 2: "parsed", 3: "failed"}
+
+
+def test_cells_meet_in_tiles_of_bounded_size(spark, monkeypatch):
+    """Tiles of few rows, cells of several tiles: the exact search stays exact and the approximate one within its cells."""
+    import numpy as np
+    from haulwise.plans import cells
+    monkeypatch.setattr(cells, "TILE_ROWS", 64)
+    monkeypatch.setattr(cells, "SLICE", 16)
+    v = _units(4, 900, 40)
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(900)], "item_id bigint, vec array<double>")
+    asked = rows.select(F.col("item_id").alias("query_id"), "vec").filter("query_id % 3 = 0")
+    index = cells.build(rows, cells=60)
+    sim = np.round(v @ v.T, 6)
+    np.fill_diagonal(sim, -9)
+    got, near = defaultdict(list), defaultdict(list)
+    for out, probes in ((got, None), (near, 7)):
+        for r in sorted(cells.search(index, asked, 5, exclude_self=True, probes=probes).collect(), key=lambda r: r["rank"]):
+            out[r.query_id].append((r.item_id, r.similarity))
+    cell = {r.item_id: r.cell for r in index.rows.collect()}
+    some = np.flatnonzero(index.size)
+    angle = np.arccos(np.clip(v @ index.centres[some].T, -1, 1))
+    for i in range(0, 900, 3):
+        assert [s for _, s in got[i]] == sorted(sim[i], reverse=True)[:5]
+        inside = set(some[np.argsort(angle[i], kind="stable")[:7]])
+        want = sorted((j for j in range(900) if cell[j] in inside and j != i), key=lambda j: (-sim[i, j], j))[:5]
+        assert [s for _, s in near[i]] == [sim[i, j] for j in want]
+    assert cells.cost(index, asked, 7).first().pairs == 300 * 900
