@@ -545,3 +545,26 @@ def test_cells_meet_in_tiles_of_bounded_size(spark, monkeypatch):
         want = sorted((j for j in range(900) if cell[j] in inside and j != i), key=lambda j: (-sim[i, j], j))[:5]
         assert [s for _, s in near[i]] == [sim[i, j] for j in want]
     assert cells.cost(index, asked, 7).first().pairs == 300 * 900
+
+
+def test_keyword_scores_stay_in_their_shards(spark, monkeypatch):
+    """Repeated query numbers count as often as they occur, and a task returns no more than n rows of a query."""
+    from haulwise.plans import postings
+    monkeypatch.setattr(postings, "SHARD", 20)
+    monkeypatch.setattr(postings, "ASKING", 2)
+    rnd = random.Random(3)
+    text = lambda n: "hot " + " ".join(f"c{int(rnd.expovariate(0.3))}" for _ in range(n))
+    chunks = spark.createDataFrame([(i, text(rnd.randrange(4, 20))) for i in range(200)], "chunk_id bigint, chunk_text string")
+    asked = spark.createDataFrame([(i % 5, text(6)) for i in range(7)], "query_id bigint, text string")
+    index = ev.keyword_index(chunks)
+    full = postings._opened(index, postings._asks(index, asked)).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("bm25")).collect()
+    want, got = defaultdict(list), defaultdict(list)
+    for r in full:
+        want[r.query_id].append((-r.bm25, r.chunk_id))
+    for r in sorted(ev.keyword_search(asked, chunks, 4, index).collect(), key=lambda r: r.keyword_rank):
+        got[r.query_id].append((-r.bm25, r.chunk_id))
+    assert got == {q: sorted(rows)[:4] for q, rows in want.items()}
+    row = postings.cost(index, asked, 4).first()
+    assert row.pairs_that_share == len(full) and row.pairs_scored <= row.pairs_that_share
+    kept = postings._in_shards(index, postings.limits(index, asked, 4), lambda s: s.first(s.scores(), 4), postings.FOUND)
+    assert kept.groupBy("query_id", F.pmod(F.xxhash64("chunk_id"), F.lit(10)).alias("shard")).count().agg(F.max("count")).first()[0] <= 4
