@@ -13,8 +13,8 @@ with a row of weights each. A model of one piece is applied in one pass over the
 and the sums of a text are added up by a hash of the text.
 
 A text gets the language of lowest cross-entropy per symbol. A softmax turns that into a score; its temperature, and
-how far above a language's own texts a text may lie before it is rejected, come from labelled texts that are set aside
-and not counted (about ``CALIBRATION_ROWS`` of them by a hash of the text, at most a fifth of all).
+how far above a language's own texts a text may lie before it is rejected, come from all labelled texts: each is scored
+by a model of the other half of the texts (dealt by a hash of the text). The model that is kept counts both halves.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and
 rejected; ties go to the language that sorts first; nothing learned means ``und`` for
@@ -39,8 +39,12 @@ ORDER = 4
 # Languages and rows of one piece of the model.
 GROUP = 16
 PIECE_ROWS = 2_000_000
-# Temperature and rejection limits come from at most so many distinct labelled texts, those of smallest hash.
-CALIBRATION_ROWS = 4000
+# Distinct labelled texts that a calibration needs; with 0 there is none.
+CALIBRATION_ROWS = 1
+# Temperatures that are tried, digits of an entropy whose median is taken, texts that give a language limits of its own.
+GRID = [2.0 ** k for k in np.arange(-2, 9, 0.5)]
+DIGITS = 3
+OWN_LIMITS = 20
 # Bytes of text whose symbols a task holds at a time (or one longer text).
 HELD_BYTES = 1 << 17
 # A text is rejected when it lies further above its language's mean than this multiple of the farthest calibration text.
@@ -98,7 +102,7 @@ def keys(places: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """4-grams of a task by language: two symbols each in ``hi`` and ``lo``, their number, and that without calibration texts."""
+    """4-grams of a task by language: two symbols each in ``hi`` and ``lo``, their number, and that without the half that is ``aside``."""
     held: dict[str, list[tuple]] = {}
     names = ("hi", "lo", "c", "kept")
 
@@ -391,42 +395,79 @@ def decisions(docs: DataFrame, model: Model | None) -> DataFrame:
 def fit(docs: DataFrame) -> Model | None:
     """Learn from all rows of ``docs`` (text, lang) that have both; any rows that must not count are left out before."""
     rows = docs.filter("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    texts = rows.agg(F.approx_count_distinct("h")).first()[0]
-    aside = F.col("h") < int(2.0 ** 64 * min(0.2, CALIBRATION_ROWS / max(texts, 1))) - 2 ** 63
-    counts = rows.withColumn("aside", aside).mapInArrow(_count, "lang string, hi long, lo long, c long, kept long")
+    half = F.col("h") < 0
+    counts = rows.withColumn("aside", half).mapInArrow(_count, "lang string, hi long, lo long, c long, kept long")
     counts = staged(counts.groupBy("lang", "hi", "lo").agg(F.sum("c").alias("c"), F.sum("kept").alias("kept")), "grams")
     if counts.isEmpty():
         return None
-    # a language with no other texts learns from those set aside
-    per = counts.groupBy("lang").agg((F.sum("kept") > 0).alias("enough"))
-    counts = counts.join(per, "lang").select("lang", "hi", "lo", F.when(F.col("enough"), F.col("kept")).otherwise(F.col("c")).alias("c")).filter("c > 0")
-    return _calibrated(_model(staged(counts, "grams")), rows.filter(aside).dropDuplicates(["h", "lang"]))
+    model = _model(counts.select("lang", "hi", "lo", "c"))
+    if not CALIBRATION_ROWS:
+        return model
+    judged = None
+    for texts, learned in ((rows.filter(half), F.col("kept")), (rows.filter(~half), F.col("c") - F.col("kept"))):
+        part = counts.select("lang", "hi", "lo", "c", learned.alias("learned"))
+        # a language with texts in one half only learns from these
+        per = part.groupBy("lang").agg((F.sum("learned") > 0).alias("enough"))
+        part = part.join(per, "lang").select("lang", "hi", "lo", F.when(F.col("enough"), F.col("learned")).otherwise(F.col("c")).alias("c")).filter("c > 0")
+        got = staged(_judged(texts, _model(staged(part, "grams"))).filter("n > 0").dropDuplicates(["h", "lang"]), "judged")
+        judged = got if judged is None else judged.unionByName(got)
+    return _calibrated(model, judged)
+
+
+JUDGED = "h long, lang string, n long, own double, loss array<double>"
+
+
+def _judged(texts: DataFrame, model: Model) -> DataFrame:
+    """Per row of ``texts`` (h, lang, text): h, lang, n, the entropy under its language and the loss at every temperature of ``GRID``."""
+    rule, number = model.rule, {v: i for i, v in enumerate(model.languages)}
+
+    def judged(batch: pa.RecordBatch, sums: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
+        e, at = rule.entropy(sums, length), np.arange(len(length))
+        # a language without a letter is none; such texts have no length
+        truth = np.array([number.get(v, 0) for v in batch.column("lang").to_pylist()], int)
+        loss = np.array([-np.log(np.maximum(_softmax(e, t)[at, truth], 1e-9)) for t in GRID]).T
+        return pa.record_batch([batch.column("h"), batch.column("lang"), pa.array(length, pa.int64()), pa.array(e[at, truth]), pa.array(list(loss), pa.list_(pa.float64()))],
+                               ["h", "lang", "n", "own", "loss"])
+    if len(model.pieces) == 1:
+        return _summed(texts, model, judged, JUDGED, model.pieces[0])
+
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield judged(b, np.array(b.column("s").to_pylist(), float).reshape(b.num_rows, -1), b.column("n").to_numpy())
+    sums = _in_pieces(texts.select("h", "text"), model)
+    return texts.select("h", "lang").distinct().join(sums, "h").select("h", "lang", "n", "s").mapInArrow(later, JUDGED)
 
 
-def _calibrated(model: Model, sample: DataFrame) -> Model:
-    """``model`` with the limits that labelled texts show which it has not learned from."""
-    sample = sample.select("h", "lang", "text")
-    if len(model.pieces) == 1:
-        scored = _summed(sample, model, lambda b, s, n: pa.record_batch([b.column("h"), b.column("lang"), pa.array(n), pa.array(list(s), pa.list_(pa.float64()))],
-                                                                       ["h", "lang", "n", "s"]), "h long, lang string, n long, s array<double>", model.pieces[0])
-    else:
-        scored = sample.select("h", "lang").join(_in_pieces(sample.select("h", "text"), model), "h").select("h", "lang", "n", "s")
-    got = scored.filter("n > 0").orderBy("h", "lang").limit(CALIBRATION_ROWS).toArrow()
-    if not got.num_rows:
+def _median(values: list[tuple[float, int]]) -> float:
+    """Median of (value, count)."""
+    value, count = (np.array(x) for x in zip(*sorted(values)))
+    upto = np.cumsum(count)
+    return float(value[np.searchsorted(upto, upto[-1] / 2)])
+
+
+def _calibrated(model: Model, judged: DataFrame) -> Model:
+    """``model`` with the temperature and limits of all texts of ``judged``, in sums, extremes and counts of rounded entropies."""
+    loss = judged.agg(F.count("*").alias("n"), *[F.avg(F.col("loss")[i]).alias(f"t{i}") for i in range(len(GRID))]).first()
+    if loss.n < CALIBRATION_ROWS:
         return model
-    n, number = got.column("n").to_numpy(), {v: i for i, v in enumerate(model.languages)}
-    e = model.rule.entropy(np.array(got.column("s").to_pylist()), n)
-    truth = np.array([number[v] for v in got.column("lang").to_pylist()])
-    own = e[np.arange(len(e)), truth]
-    grid = [2.0 ** k for k in np.arange(-2, 9, 0.5)]
-    loss = [-np.log(np.maximum(_softmax(e, t)[np.arange(len(e)), truth], 1e-9)).mean() for t in grid]
-    width = np.sqrt(1 + SHORT / n)
-    where = [np.flatnonzero(truth == i) for i in range(len(model.languages))]
-    enough = [w if len(w) > 20 else np.arange(len(own)) for w in where]
-    mean = np.array([np.median(own[w]) for w in enough])
-    spread = np.array([max(np.std((own[w] - m) / width[w]), 0.02) for w, m in zip(enough, mean)])
-    limit = np.array([max(6.0, MARGIN * ((own[w] - m) / (s * width[w])).max()) for w, m, s in zip(enough, mean, spread)])
-    return model._replace(temperature=grid[int(np.argmin(loss))], mean=mean, spread=spread, limit=limit)
+    # entropies of three digits: no more rows than there are such values of a language
+    held: dict[str, list[tuple[float, int]]] = {}
+    for r in judged.groupBy("lang", F.round("own", DIGITS).alias("value")).agg(F.count("*").alias("n")).collect():
+        held.setdefault(r.lang, []).append((r.value, r.n))
+    every = [x for some in held.values() for x in some]
+    few = [sum(n for _, n in held.get(v, ())) <= OWN_LIMITS for v in model.languages]
+    middle = _median(every)
+    mean = np.array([middle if f else _median(held[v]) for v, f in zip(model.languages, few)])
+    own = judged.sparkSession.createDataFrame([(v, float(m)) for v, m, f in zip(model.languages, mean, few) if not f], "of string, mean double")
+    width = F.sqrt(1 + SHORT / F.col("n"))
+    shown = [F.stddev_pop("z").alias("spread"), F.max("z").alias("far")]
+    per = judged.join(own, F.col("lang") == F.col("of")).withColumn("z", (F.col("own") - F.col("mean")) / width).groupBy("lang").agg(*shown).collect()
+    rest = judged.withColumn("z", (F.col("own") - F.lit(middle)) / width).agg(*shown).first()
+    found = {r.lang: r for r in per}
+    rows = [found.get(v, rest) for v in model.languages]
+    spread = np.array([max(r.spread, 0.02) for r in rows])
+    limit = np.array([max(6.0, MARGIN * r.far / s) for r, s in zip(rows, spread)])
+    return model._replace(temperature=GRID[int(np.argmin(loss[1:]))], mean=mean, spread=spread, limit=limit)
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -148,3 +148,21 @@ def test_ties_and_nothing_learned(spark, monkeypatch):
 
 def test_query_returns_every_row(spark, folder, docs):
     assert catalog.language_id(spark, folder).count() == docs.count()
+
+
+def test_every_text_counts_and_calibrates(spark, docs, monkeypatch):
+    """The entropies are those of all texts, and limits change with any of them."""
+    rows = docs.select("lang", "text").filter("lang is not null and text is not null")
+    some = rows.limit(120)
+    model = langid.fit(some)
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 0)
+    plain = langid.fit(some)
+    asked = [r.text for r in some.limit(20).collect()]
+    assert np.abs(raw(spark, model, asked) - raw(spark, plain, asked)).max() < 1e-9
+    monkeypatch.undo()
+    seen = []
+    kept = langid._calibrated
+    monkeypatch.setattr(langid, "_calibrated", lambda m, judged: seen.append(judged.count()) or kept(m, judged))
+    langid.fit(some.union(some))
+    letters_in = {t for t in (r.text for r in some.collect()) if any(c.isalpha() for c in t)}
+    assert seen == [len({(r.lang, r.text) for r in some.collect() if r.text in letters_in})]
