@@ -396,3 +396,16 @@ def test_pipeline_stages(spark, folder, docs):
         assert 0 < now <= before
         before = now
     assert corpus_pipeline.run(spark, folder).select("doc_id").distinct().count() == before
+
+
+@pytest.mark.parametrize("held", [200_000, 7])
+def test_components_of_chains_take_few_rounds(spark, monkeypatch, held):
+    """A task joins its own edges: a chain that fits one needs no step between tasks, and parts of it still meet."""
+    from haulwise.llm import graph
+    monkeypatch.setattr(graph, "TASK_EDGES", held)
+    written, kept = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: written.append(name) or kept(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (100, 101)], "a long, b long")
+    got = {(r.node, r.root) for r in graph.components(edges).collect()}
+    assert got == {(i, 0) for i in range(41)} | {(i, 100) for i in (100, 101, 102)}
+    assert held == 7 or len(written) <= 2
