@@ -67,7 +67,8 @@ def stages(m):
 
     What a supplier is known for is taken from deliveries of the training period only.
     """
-    base = training_frame(m).select("shipment_id", "supplier_id", "label", "split", "past_reliability")
+    m = m.staged
+    base = m.written(training_frame(m).select("shipment_id", "supplier_id", "label", "split", "past_reliability"), "training")
     edges = m.supplier_components.select(F.col("component_id").cast("string").alias("src"), F.col("supplier_id").cast("string").alias("dst"))
     early = ft.reliability_now(m.shipments.filter(F.col("delivered_at") < F.lit(CUTS[0]).cast("date")))
     comp, sup = component_values(m), m.suppliers.select("supplier_id").join(early, "supplier_id", "left").select(
@@ -87,14 +88,14 @@ def stages(m):
 
 def register(cat) -> None:
     def trained(m):
-        df = ln.cut(training_frame(m))
+        df = ln.cut(training_frame(m.staged))
         fitted = ln.train_classifier(df.filter(F.col("split") == "train"), FEATURES, "label")
         return fitted, df
     cat.add("train_classifier", lambda m: (lambda fd: ln.roc_auc(ln.batch_score(*fd), "p", "label", ["split"]))(trained(m)))
     cat.add("batch_score", lambda m: (lambda fd: ln.batch_score(fd[0], fd[1].filter(F.col("split") == "test")).select(
         "shipment_id", "p", "label"))(trained(m)))
     cat.add("ablate", lambda m: ln.ablate(*stages(m), "label", "split"))
-    cat.add("grid_search", lambda m: ln.grid_search(training_frame(m), FEATURES, "label", "split", [(0.001, 0.0), (0.01, 0.0), (0.1, 0.5)]))
+    cat.add("grid_search", lambda m: ln.grid_search(training_frame(m.staged), FEATURES, "label", "split", [(0.001, 0.0), (0.01, 0.0), (0.1, 0.5)]))
     cat.add("class_weights", lambda m: ln.class_weights(scored(m), "label"), lsql("""
         SELECT label, count(*) n, round((SELECT count(*) FROM scored_ships) / (2.0 * count(*)), 6) weight FROM scored_ships GROUP BY 1"""))
     cat.add("roc_auc", lambda m: ln.roc_auc(scored(m), "p", "label", ["split"]), lsql("""
