@@ -110,9 +110,9 @@ def register(cat) -> None:
         SELECT supplier_id, name AS name, risk_category, impact_score FROM enriched
         WHERE risk_category IN ('medium', 'high') AND lower(name) LIKE '%r#00000000%'"""))
     cat.add("entity_detail", lambda m: vw.entity_detail(
-        m.suppliers, "supplier_id", {
-            "components": (m.supplier_components.join(m.components, "component_id"), "component_id"),
-            "shipments": (m.shipments.select("supplier_id", "shipment_id", "status", "eta"), "shipment_id")},
+        m.staged.suppliers, "supplier_id", {
+            "components": (m.staged.supplier_components.join(m.components, "component_id"), "component_id"),
+            "shipments": (m.staged.shipments.select("supplier_id", "shipment_id", "status", "eta"), "shipment_id")},
         rk.enrich(m.supplier_signals).drop("name")))
     cat.add("entity_detail_sizes", lambda m: vw.entity_detail(
         m.raw("supplier").select(F.col("s_suppkey").alias("supplier_id")), "supplier_id", {
