@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import columns as fx
 from ..plans.windows import top_per_key
-from ..session import cut
+from ..session import cut, written
 
 NODE = ["node_type", "node_id"]
 
@@ -114,23 +115,64 @@ def typed_aggregate(values: DataFrame, edges: DataFrame, col: str, types: Sequen
         fx.r6(F.avg(F.when(F.col("edge_type") == t, F.col("_x")))).alias(f"mean_{t.lower()}") for t in types])
 
 
+def over_types(start: DataFrame, edges: DataFrame, hops: int, step: Callable[[str, DataFrame, DataFrame], DataFrame],
+               sources: Collection[str] | None = None) -> DataFrame:
+    """(node_type, node_id, value) after ``hops`` hops, each of which gives a node a value from its in-neighbours'.
+
+    ``start`` holds the values before the first hop. A type without in-edges keeps them, and a type stands still one
+    hop after all types that lead to it; so a hop is computed only for the types whose values of that hop are read
+    later or are the result, and without cycles of types every edge is joined once. ``step`` gets such a type, the
+    edges into it and the values of its sources, and returns its new values; values read later are written, so
+    that the size of a small side is known. With ``sources``, only these types have values at the start; other types
+    are reached from them or left out.
+    """
+    # one row per pair of node types
+    into: dict[str, set[str]] = {}
+    for r in edges.select("src_type", "dst_type").distinct().dropna().collect():
+        into.setdefault(r.dst_type, set()).add(r.src_type)
+    if sources is not None:
+        reached = set(sources)
+        while more := {t for t, of in into.items() if of & reached} - reached:
+            reached |= more
+        into = {t: of & reached for t, of in into.items() if t in reached}
+    last = {t: 0 for of in into.values() for t in of if t not in into}
+    while more := {t: 1 + max((last[s] for s in of), default=0) for t, of in into.items() if t not in last and of <= last.keys()}:
+        last |= more
+    last = {t: min(last.get(t, hops), hops) for t in {*last, *into}}
+    read: set[tuple[str, int]] = set()
+    todo = {(t, n) for t, n in last.items() if n}
+    while todo:
+        new = {(s, min(n - 1, last[s])) for t, n in todo for s in into[t]} - read
+        read, todo = read | new, {x for x in new if x[1]}
+
+    moved = [t for t, n in last.items() if n]
+    out = start.filter(~F.coalesce(F.col("node_type").isin(*moved), F.lit(False))) if moved else start
+    values = {(t, 0): written(start.filter(F.col("node_type") == t), "values") for t, n in sorted(read) if n == 0}
+    for hop in range(1, hops + 1):
+        for t in sorted(t for t in into if (t, hop) in read or last[t] == hop):
+            src = reduce(DataFrame.unionByName, [values[s, min(hop - 1, last[s])] for s in sorted(into[t])] or [start.limit(0)])
+            now = step(t, edges.filter(F.col("dst_type") == t), src)
+            if (t, hop) in read:
+                now = values[t, hop] = written(now, "values")
+            out = out.unionByName(now) if last[t] == hop else out
+    return out
+
+
 def propagate_risk(base: DataFrame, edges: DataFrame, hops: int, damping: float, digits: int | None = 9) -> DataFrame:
     """Risk spreading along edges for a fixed number of hops.
 
     score' = (1 - damping) * own base + damping * mean of the in-neighbours;
     nodes without in-neighbours keep their base. ``base`` holds (node_type,
-    node_id, risk) for every node. Lineage is cut after every second hop. Scores are
+    node_id, risk) for every node. Hops go type by type (``over_types``). Scores are
     rounded to ``digits``, if given.
     """
-    current = base.select(*NODE, F.col("risk").alias("score"))
-    e = edges.select("src_type", "src", "dst_type", "dst")
-    for hop in range(1, hops + 1):
-        src = current.select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src"), "score")
+    def step(kind: str, e: DataFrame, src: DataFrame) -> DataFrame:
+        src = src.select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src"), "score")
         mean = e.join(src, ["src_type", "src"]).groupBy(
             F.col("dst_type").alias("node_type"), F.col("dst").alias("node_id")).agg(F.avg("score").alias("_m"))
-        current = base.join(mean, NODE, "left").select(
+        return base.filter(F.col("node_type") == kind).join(mean, NODE, "left").select(
             *NODE, F.when(F.col("_m").isNull(), F.col("risk")).otherwise(
                 F.col("risk") * F.lit(1 - damping) + F.col("_m") * F.lit(damping)).alias("score"))
-        if hop % 2 == 0 and hop < hops:
-            current = cut(current)
-    return current if digits is None else current.withColumn("score", F.round("score", digits))
+    out = over_types(base.select(*NODE, F.col("risk").alias("score")),
+                     edges.select("src_type", "src", "dst_type", "dst"), hops, step)
+    return out if digits is None else out.withColumn("score", F.round("score", digits))

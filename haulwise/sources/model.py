@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import columns as fx
 from ..plans.windows import latest_per_key, top_per_key
-from ..session import scratch_path, spread
+from ..session import spread, written
 from .tables import load
 
 # Contract terms by market segment; FURNITURE has no contract.
@@ -43,9 +43,7 @@ class Model:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` as a table in the shared folder."""
-        path = scratch_path(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.parquet(path)
+        return written(df, name)
 
     @cached_property
     def staged(self) -> "Model":
