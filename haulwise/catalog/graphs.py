@@ -107,23 +107,31 @@ def stored_flow(m):
     return m.written(flow_edges(m.staged), "flow")
 
 
-def base_risk(m):
-    """Own risk of every node on the flow graph: unreliability for suppliers, else 0."""
-    rel = ft.reliability_now(m.shipments)
-    sup = m.raw("supplier").select(F.col("s_suppkey").alias("supplier_id")).join(rel, "supplier_id", "left").select(
+def _supplier_risk(m, rel):
+    """Suppliers with their reliability, null if unknown, and their own risk: unreliability."""
+    return m.raw("supplier").select(F.col("s_suppkey").alias("supplier_id")).join(rel, "supplier_id", "left").select(
         F.lit("supplier").alias("node_type"), F.col("supplier_id").cast("string").alias("node_id"),
-        fx.r6(1 - F.coalesce("reliability", F.lit(0.5))).alias("risk"))
+        fx.r6(1 - F.coalesce("reliability", F.lit(0.5))).alias("risk"), "reliability")
+
+
+def _with_other_nodes(m, sup):
+    """``sup`` and the other nodes on the flow graph, whose own risk is 0."""
     zero = lambda df, t, c: df.select(F.lit(t).alias("node_type"), F.col(c).cast("string").alias("node_id"), F.lit(0.0).alias("risk"))
-    return (sup.unionByName(zero(m.raw("part"), "component", "p_partkey"))
-            .unionByName(zero(m.raw("part").select("p_brand").distinct(), "product", "p_brand"))
-            .unionByName(zero(m.raw("orders"), "order", "o_orderkey")))
+    for other in (zero(m.raw("part"), "component", "p_partkey"), zero(m.raw("part").select("p_brand").distinct(), "product", "p_brand"),
+                  zero(m.raw("orders"), "order", "o_orderkey")):
+        sup = sup.unionByName(other, allowMissingColumns=True)
+    return sup
+
+
+def base_risk(m):
+    """Own risk of every node on the flow graph: unreliability for suppliers, else 0."""
+    return _with_other_nodes(m, _supplier_risk(m, ft.reliability_now(m.shipments)).drop("reliability"))
 
 
 def supplier_features(m):
     """Own risk of every node on the flow graph, with the features of the suppliers."""
-    known = m.suppliers.select(F.lit("supplier").alias("node_type"), F.col("supplier_id").cast("string").alias("node_id"), F.col("lead_time_days").cast("double"))
-    rel = ft.reliability_now(m.shipments).select(F.lit("supplier").alias("node_type"), F.col("supplier_id").cast("string").alias("node_id"), "reliability")
-    return base_risk(m).join(known, ["node_type", "node_id"], "left").join(rel, ["node_type", "node_id"], "left")
+    known = m.suppliers.select(F.col("supplier_id").cast("string").alias("node_id"), F.col("lead_time_days").cast("double"))
+    return _with_other_nodes(m, _supplier_risk(m, ft.reliability_now(m.shipments)).join(known, "node_id", "left"))
 
 
 def feature_overrides(m):
@@ -140,7 +148,7 @@ def feature_overrides(m):
 def what_if(m):
     """Every node whose score changes in the scenario of ``feature_overrides``."""
     base = m.written(supplier_features(m.staged), "features")
-    usable, _ = sc.check_features(feature_overrides(m), base)
+    usable = m.written(sc.check_features(m.written(feature_overrides(m), "overrides"), base)[0], "usable")
     changed = sc.changed_risk(base, usable).select("node_type", "node_id", (F.col("simulated") - F.col("risk")).alias("delta"))
     flow = stored_flow(m)
     now = tv.propagate_risk(base.select("node_type", "node_id", "risk"), flow, 3, 0.95, digits=None)

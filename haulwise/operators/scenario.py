@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import columns as fx
-from ..session import cut
-from .traversal import NODE
+from ..session import written
+from .traversal import NODE, over_types
 
 # Features that a scenario may override, and what is allowed.
 FEATURE_RANGES = {"reliability": (0.0, 1.0), "lead_time_days": (0.0, 365.0), "own_risk": (0.0, 1.0)}
@@ -35,7 +35,8 @@ def check_features(overrides: DataFrame, nodes: DataFrame) -> tuple[DataFrame, D
     A value out of its range, an unknown feature or an unknown node rejects all overrides of that
     node, before anything is scored; ``rejected`` says why.
     """
-    known = nodes.select(*NODE).distinct().withColumn("_known", F.lit(True))
+    # only the nodes asked for, before they are made distinct
+    known = nodes.select(*NODE).join(overrides.select(*NODE).distinct(), NODE, "left_semi").distinct().withColumn("_known", F.lit(True))
     checked = overrides.join(known, NODE, "left").withColumn(
         "reason", F.coalesce(F.when(F.col("_known").isNull(), "unknown node"), reject_reason())).drop("_known")
     bad = checked.filter(F.col("reason").isNotNull())
@@ -59,21 +60,22 @@ def changed_risk(features: DataFrame, usable: DataFrame) -> DataFrame:
 def spread_change(changed: DataFrame, edges: DataFrame, hops: int, damping: float) -> DataFrame:
     """(node_type, node_id, delta): what ``propagate_risk`` with the changed risks gives more.
 
-    ``changed`` holds (node_type, node_id, delta) of own risks. A hop joins the edges that leave
-    nodes with a change, and the in-degrees of the nodes these reach.
+    ``changed`` holds (node_type, node_id, delta) of own risks. Only edges into types that a change
+    can reach are read; one sum over them gives what comes in and how many edges there are.
     """
-    e = edges.select("src_type", "src", "dst_type", "dst")
-    ends = e.groupBy(F.col("dst_type").alias("node_type"), F.col("dst").alias("node_id")).agg(F.count("*").alias("n_in"))
-    own = cut(changed.filter("delta <> 0").join(ends, NODE, "left").select(
-        *NODE, F.when(F.col("n_in").isNull(), F.col("delta")).otherwise(F.col("delta") * F.lit(1 - damping)).alias("own")))
-    current = changed.filter("delta <> 0").select(*NODE, "delta")
-    for hop in range(hops):
-        src = current.select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src"), "delta")
-        got = e.join(src, ["src_type", "src"]).groupBy(F.col("dst_type").alias("node_type"), F.col("dst").alias("node_id")).agg(F.sum("delta").alias("got"))
-        got = got.join(ends, NODE).select(*NODE, (F.col("got") / F.col("n_in") * F.lit(damping)).alias("delta"))
-        current = got.unionByName(own.withColumnRenamed("own", "delta")).groupBy(*NODE).agg(F.sum("delta").alias("delta"))
-        current = cut(current.filter(F.abs("delta") > 1e-12)) if hop < hops - 1 else current
-    return current
+    own = written(changed.filter("delta <> 0").groupBy(*NODE).agg(F.sum("delta").alias("delta")), "changed")
+    kinds = [r.node_type for r in own.select("node_type").distinct().dropna().collect()]
+
+    def step(kind: str, e: DataFrame, src: DataFrame) -> DataFrame:
+        src = src.filter(F.abs("delta") > 1e-12).select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src"), "delta")
+        got = e.filter(F.col("dst").isNotNull()).join(src, ["src_type", "src"], "left").groupBy(
+            F.col("dst_type").alias("node_type"), F.col("dst").alias("node_id")).agg(F.sum("delta").alias("_got"), F.count("*").alias("_n"))
+        kept = F.when(F.col("_n").isNull(), F.col("delta")).otherwise(F.col("delta") * F.lit(1 - damping))
+        come = F.col("_got") / F.col("_n") * F.lit(damping)
+        return got.join(own.filter(F.col("node_type") == kind), NODE, "full_outer").filter(
+            F.col("_got").isNotNull() | F.col("delta").isNotNull()).select(
+            *NODE, (F.coalesce(come, F.lit(0.0)) + F.coalesce(kept, F.lit(0.0))).alias("delta"))
+    return over_types(own, edges.select("src_type", "src", "dst_type", "dst"), hops, step, kinds)
 
 
 def rescored_nodes(baseline: DataFrame, delta: DataFrame) -> DataFrame:
