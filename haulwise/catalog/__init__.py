@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure
+from ..session import configure, deal_finer
 from ..sources.model import Model
 
 
@@ -26,7 +26,7 @@ class Catalog:
 
 
 def _runner(build: Callable[[Model], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: build(Model(configure(spark), folder))
+    return lambda spark, folder: build(Model(deal_finer(configure(spark)), folder))
 
 
 def load_catalog() -> Catalog:
