@@ -299,6 +299,7 @@ def register(cat) -> None:
           JOIN part ON p_partkey = component_id, (SELECT min(p_retailprice) lo, max(p_retailprice) hi FROM part)) GROUP BY 1"""))
 
     def typed(m):
+        m = m.staged
         values = base_risk(m).withColumnRenamed("risk", "x")
         comp = component_values(m).select(F.lit("component").alias("node_type"), "node_id", F.col("reliability").alias("x"))
         values = values.filter(F.col("node_type") == "supplier").unionByName(comp)

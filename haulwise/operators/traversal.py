@@ -107,10 +107,15 @@ def attention_aggregate(src_values: DataFrame, dst_values: DataFrame, edges: Dat
 def typed_aggregate(values: DataFrame, edges: DataFrame, col: str, types: Sequence[str]) -> DataFrame:
     """One neighbour mean per edge type, kept in separate columns.
 
-    ``values`` holds (node_type, node_id, col); the type list is fixed.
+    ``values`` holds (node_type, node_id, col); the type list is fixed. Edges meet the written values of one
+    node type at a time: where these are few, the edges are neither shuffled nor sorted by source.
     """
-    src = values.select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src"), F.col(col).alias("_x"))
-    joined = edges.filter(F.col("edge_type").isin(*types)).join(src, ["src_type", "src"])
+    src = written(values.select(F.col("node_type").alias("src_type"), F.col("node_id").alias("src"), F.col(col).alias("_x")), "values")
+    kinds = sorted(r.src_type for r in src.select("src_type").distinct().dropna().collect())
+    wanted = edges.filter(F.col("edge_type").isin(*types))
+    of_kind = [wanted.filter(F.col("src_type") == k).join(
+        written(src.filter(F.col("src_type") == k), "values"), ["src_type", "src"]) for k in kinds]
+    joined = reduce(DataFrame.unionByName, of_kind or [wanted.join(src, ["src_type", "src"])])
     return joined.groupBy(F.col("dst_type").alias("node_type"), F.col("dst").alias("node_id")).agg(*[
         fx.r6(F.avg(F.when(F.col("edge_type") == t, F.col("_x")))).alias(f"mean_{t.lower()}") for t in types])
 
