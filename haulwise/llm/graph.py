@@ -44,8 +44,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select(F.col("m").alias("a"), "b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (the smallest node of its component) for all nodes of ``edges`` (a < b).
+def linked(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root`` (the smallest node of its component) for the nodes of ``edges`` (a < b) that are not the root, as a written table.
 
     A round first joins the edges of every task, then takes a step between tasks; what fits one task
     needs no step. Each round is a written table; the loop ends when a round changes nothing, which is
@@ -59,7 +59,13 @@ def components(edges: DataFrame) -> DataFrame:
         if tasks <= 1:
             edges = staged(edges.coalesce(1).mapInArrow(_joined, "a long, b long"), "edges") if tasks else edges
         if now == state or tasks <= 1:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a")).distinct()
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         state = now
         edges = staged(edges.repartition(tasks).mapInArrow(_joined, "a long, b long"), "edges")
         edges = staged(_small_star(_large_star(edges.distinct()).distinct()).distinct(), "edges")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root`` for all nodes of ``edges`` (a < b), the roots included."""
+    moved = linked(edges)
+    return moved.union(moved.select("root", "root")).distinct()

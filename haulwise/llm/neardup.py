@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .graph import components
+from .graph import components, linked
 from .store import staged
 from .text import Words, join2, mix, slices
 
@@ -194,44 +194,48 @@ def duplicate_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = staged(docs.mapInArrow(_sketch(k), "doc_id long, n long, fp binary, node long, sign binary, bands array<long>"), "sketches")
     some = sketch.filter("n > 0 and doc_id is not null")
-    # a node is a set; its smallest doc_id stands for the texts that share it
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.withColumnRenamed("node", "f"), (F.col("doc_id") == F.col("rep")) & (F.col("node") == F.col("f")))
-    buckets = reps.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key"))
+    # a node is a set; its smallest doc_id stands for the texts that share it. Every plan below starts from written
+    # tables: what a plan joins, shuffles and broadcasts at once takes memory of the driver, whatever its rows
+    of_set = [F.first(c).alias(c) for c in ("n", "sign", "bands")]
+    classes = staged(some.groupBy("node").agg(F.min("doc_id").alias("rep"), *of_set), "classes")
+    buckets = classes.select(F.col("node").alias("doc"), F.posexplode("bands").alias("band", "key"))
     crowded = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
     members = staged(buckets.join(crowded, "key").select("key", "band", "doc"), "buckets")
-    wanted = members.select("doc").distinct()
-    asked = reps.join(wanted, F.col("node") == F.col("doc"), "left_semi")
-    signs = staged(asked.groupBy(F.col("node").alias("doc")).agg(F.first("n").alias("n"), F.first("sign").alias("sign")), "signs")
+    wanted = members.select(F.col("doc").alias("node")).distinct()
+    asked = staged(classes.join(wanted, "node", "left_semi").select(F.col("node").alias("doc"), "rep", "n", "sign"), "signs")
+    signs = asked.drop("rep")
     # a document of several texts brings all of them
-    sets = staged(docs.join(asked.select(F.col("doc_id").alias("_rep")).distinct(), F.col("doc_id") == F.col("_rep"), "left_semi")
+    sets = staged(docs.join(asked.select(F.col("rep").alias("_rep")), F.col("doc_id") == F.col("_rep"), "left_semi")
                    .mapInArrow(_sets(k), "doc long, shingles array<long>").dropDuplicates(["doc"]), "sets")
-    tested = docs.sparkSession.createDataFrame([], "a long, b long")
     # texts of one document belong together from the start
     several = some.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     tied = some.join(several, "doc_id").filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    roots = components(tied)
+    roots = linked(tied)
 
     def grown(found: DataFrame) -> DataFrame:
-        return components(roots.filter("node > root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
+        return linked(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
 
     # few bands tie a large group together before all bands are looked at
+    tested = None
     for some_bands in (members.filter(F.col("band") < FIRST_BANDS), members):
         apart = _apart(some_bands, roots)
         ends = F.explode(F.array("low", "high"))
-        pairs = apart.select("doc", "root", ends.alias("end")).filter("root <> end.root").select(F.col("doc").alias("x"), F.col("end.doc").alias("y"))
-        fresh = staged(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        roots = grown(staged(_verified(fresh, signs, sets, percent), "links"))
+        pairs = _ordered(apart.select("doc", "root", ends.alias("end")).filter("root <> end.root").select(F.col("doc").alias("x"), F.col("end.doc").alias("y")))
+        fresh = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        roots = grown(_verified(fresh, signs, sets, percent))
     apart = staged(_apart(members, roots).select("key", "doc", "root", F.col("low.doc").alias("low"), "size"), "apart")
-    other = apart.select("key", F.col("doc").alias("y"), F.col("root").alias("other"))
-    pairs = apart.filter(F.col("size") <= SMALL_BUCKET).join(other, "key").filter("root < other").select(F.col("doc").alias("x"), "y")
-    found = _verified(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), signs, sets, percent)
-    blocks = _by_blocks(apart.filter(F.col("size") > SMALL_BUCKET), roots, signs, sets, percent)
-    roots = grown(staged(found.unionByName(blocks), "links"))
-    named = classes.join(roots.withColumnRenamed("node", "n_"), classes["node"] == F.col("n_"), "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
+    largest = apart.agg(F.max("size")).first()[0] or 0
+    if largest:
+        other = apart.select("key", F.col("doc").alias("y"), F.col("root").alias("other"))
+        pairs = apart.filter(F.col("size") <= SMALL_BUCKET).join(other, "key").filter("root < other").select(F.col("doc").alias("x"), "y")
+        found = _verified(staged(_ordered(pairs).join(tested, ["a", "b"], "left_anti"), "pairs"), signs, sets, percent)
+        if largest > SMALL_BUCKET:
+            found = staged(found, "links").unionByName(_by_blocks(apart.filter(F.col("size") > SMALL_BUCKET), roots, signs, sets, percent))
+        roots = grown(found)
+    named = classes.select("node", "rep").join(roots, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))
-    named = named.join(smallest, "root").select("node", "component")
+    named = staged(named.join(smallest, "root").select("node", "component"), "components")
     lone = sketch.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"))
     grouped = some.select("doc_id", "n", "node").join(named, "node").select("doc_id", "n", "component")
     return grouped.unionByName(lone).select(
